@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.llm import packing, splitting
+from quillgrid.llm import leakage, packing, spam, splitting
 from quillgrid.sources.tables import table
 
 
@@ -24,11 +24,26 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.container_report(p8_containers(spark, folder))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.found(table(spark, folder, "documents"))
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.judge_documents(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
     "p8_containers": p8_containers,
     "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
 }
 
 ORACLE = {
