@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.llm import leakage, packing, spam, splitting
+from quillgrid.llm import leakage, markup, packing, spam, splitting
 from quillgrid.sources.tables import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.found(*[table(spark, folder, n) for n in ("blocks", "equations", "ir_documents")])
+
+
+def p2_clean(spark: SparkSession, folder: str) -> DataFrame:
+    texts = markup.texts_of_library(*[table(spark, folder, n) for n in ("blocks", "equations", "ir_documents")])
+    return markup.clean_library(texts)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.found(table(spark, folder, "blocks"))
 
@@ -37,6 +46,8 @@ def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_clean": p2_clean,
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
     "p8_containers": p8_containers,
