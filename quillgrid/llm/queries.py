@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.llm import leakage, markup, packing, spam, splitting
+from quillgrid.llm import leakage, markup, names, packing, spam, splitting
 from quillgrid.sources.tables import table
 
 
@@ -17,6 +17,14 @@ def p2_clean(spark: SparkSession, folder: str) -> DataFrame:
     return markup.clean_library(texts)
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.found(table(spark, folder, "authors"))
+
+
+def p6_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return names.link_names(table(spark, folder, "authors"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.found(table(spark, folder, "blocks"))
 
@@ -48,6 +56,8 @@ def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_clean": p2_clean,
+    "p6_found": p6_found,
+    "p6_entities": p6_entities,
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
     "p8_containers": p8_containers,
