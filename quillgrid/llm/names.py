@@ -123,7 +123,10 @@ def parse_name(name: str | None) -> tuple[str, bool, list[str], list[bool]]:
 
     With a comma the parts before it come last, as in natural order. Hyphens within a full part are dropped.
     """
-    text = re.sub(r"\s+", " ", fold(name or "")).strip()
+    raw = name or ""
+    if not raw.isupper():  # initials without points
+        raw = re.sub(r"(?<![\w.-])([A-Z])([A-Z])(?![\w.-])", r"\1. \2.", raw)
+    text = re.sub(r"\s+", " ", fold(raw)).strip()
     text = re.sub(r"\([^)]*\)|\[[^\]]*\]|[\"“”„«»][^\"“”„«»]*[\"“”„«»]", " ", text)
     text = re.sub(r"[*†‡§¶#\d¹²³°^~]+", " ", text).strip(" ,;")
     bare = re.sub(r"[\s.]+", " ", text).strip()
@@ -249,12 +252,11 @@ def _forms(names: DataFrame) -> DataFrame:
 def _hubs(keys: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
     """(surname, given, root): each key follows its most frequent near neighbour up to the one that leads on.
 
-    A key only follows one that is clearly more frequent, so two names that are both in regular use and
-    one letter apart stay apart, and there are no circles.
+    A key only follows a more frequent one (of equal ones the smaller), so there are no circles. Keys are one
+    slip apart in either the surname or the given name, the other being equal.
     """
     steps = (
         edges.where((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("key_a") > F.col("key_b"))))
-        .where((F.col("n_a") <= 3) | (F.col("n_a") * 2 <= F.col("n_b")))
         .groupBy(F.col("key_a").alias("key"))
         .agg(F.max(F.struct("n_b", "key_b"))["key_b"].alias("root"))
     )
