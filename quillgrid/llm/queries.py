@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.llm import leakage, markup, names, packing, spam, splitting
+from quillgrid.llm import leakage, markup, matching, names, packing, spam, splitting
 from quillgrid.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return matching.found(table(spark, folder, "refs"), table(spark, folder, "papers"))
+
+
+def p1_matches(spark: SparkSession, folder: str) -> DataFrame:
+    return matching.match_references(table(spark, folder, "refs"), table(spark, folder, "papers"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return markup.found(*[table(spark, folder, n) for n in ("blocks", "equations", "ir_documents")])
 
@@ -54,6 +62,8 @@ def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_matches": p1_matches,
     "p2_found": p2_found,
     "p2_clean": p2_clean,
     "p6_found": p6_found,
