@@ -89,20 +89,16 @@ def postings(docs: DataFrame, key: list[str], text: str) -> DataFrame:
 
 
 def _frequency(phrase: Phrase):
-    """How often the phrase stands in the token array ``t``."""
-    words = phrase.words
-    if len(words) == 1:
-        return F.size(F.filter("t", lambda x: x == words[0]))
-    want = F.array(*map(F.lit, words))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("t") - len(words) + 1, F.lit(1)))
-    return F.size(F.filter(starts, lambda s: F.slice("t", s, len(words)) == want))
+    """How often the phrase stands in the text; ``spaced`` holds its tokens, each between blanks."""
+    return F.regexp_count("spaced", F.lit(f"(?= {' '.join(phrase.words)} )"))
 
 
 def _hits(docs: DataFrame, key: list[str], text: str, asked: list[Phrase]) -> DataFrame:
     """(key…, n_tokens, f0, f1, …): how often each phrase stands in each document, and its length."""
-    tokens = docs.select(*key, F.col(text).alias("__text"), search_tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
+    spaced = F.concat(F.lit(" "), F.array_join(search_tokens(F.col(text)), " "), F.lit(" "))
+    tokens = docs.select(*key, spaced.alias("spaced")).where(F.length("spaced") > 2)
     columns = [_frequency(p).alias(f"f{i}") for i, p in enumerate(asked)]
-    return tokens.select(*key, F.size("t").alias("n_tokens"), *columns)
+    return tokens.select(*key, (F.length(F.regexp_replace("spaced", "[^ ]", "")) - 1).alias("n_tokens"), *columns)
 
 
 def _matches(node, index: dict[Phrase, int]):

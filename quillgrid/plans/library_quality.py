@@ -83,20 +83,20 @@ QUERIES = {
 
 _ORPHANS = r"""
 WITH newest AS (
-  SELECT lower(trim(key)) AS k, arg_max(coalesce(status, ''), (updated_at, created_at, status)) AS status
+  SELECT lower(regexp_replace(key, '^\s+|\s+$', '', 'g')) AS k, arg_max(coalesce(status, ''), (updated_at, created_at, status)) AS status
   FROM papers WHERE key IS NOT NULL GROUP BY 1),
 live AS (SELECT k FROM newest WHERE status <> 'dropped'),
 named AS (
-  SELECT 'figures' AS ref_table, 'paper_key' AS ref_field, nullif(lower(trim(paper_key)), '') AS paper_key, id AS item_id, indexed_at FROM figures
-  UNION ALL SELECT 'tables_index', 'paper_key', nullif(lower(trim(paper_key)), ''), id, indexed_at FROM tables_index
-  UNION ALL SELECT 'files', 'paper_key', nullif(lower(trim(paper_key)), ''), rel_path, indexed_at FROM files),
+  SELECT 'figures' AS ref_table, 'paper_key' AS ref_field, nullif(lower(regexp_replace(paper_key, '^\s+|\s+$', '', 'g')), '') AS paper_key, id AS item_id, indexed_at FROM figures
+  UNION ALL SELECT 'tables_index', 'paper_key', nullif(lower(regexp_replace(paper_key, '^\s+|\s+$', '', 'g')), ''), id, indexed_at FROM tables_index
+  UNION ALL SELECT 'files', 'paper_key', nullif(lower(regexp_replace(paper_key, '^\s+|\s+$', '', 'g')), ''), rel_path, indexed_at FROM files),
 places AS (
-  SELECT nullif(lower(trim(paper_key)), '') AS paper_key, id AS item_id, indexed_at,
-    array_to_string(list_filter(string_split(replace(trim(crop_path), '\', '/'), '/'), lambda x: x NOT IN ('', '.')), '/') AS path
+  SELECT nullif(lower(regexp_replace(paper_key, '^\s+|\s+$', '', 'g')), '') AS paper_key, id AS item_id, indexed_at,
+    array_to_string(list_filter(string_split(replace(regexp_replace(crop_path, '^\s+|\s+$', '', 'g'), '\', '/'), '/'), lambda x: x NOT IN ('', '.')), '/') AS path
   FROM figures),
 present AS (
-  SELECT nullif(lower(trim(paper_key)), '') AS paper_key,
-    array_to_string(list_filter(string_split(replace(trim(rel_path), '\', '/'), '/'), lambda x: x NOT IN ('', '.')), '/') AS path
+  SELECT nullif(lower(regexp_replace(paper_key, '^\s+|\s+$', '', 'g')), '') AS paper_key,
+    array_to_string(list_filter(string_split(replace(regexp_replace(rel_path, '^\s+|\s+$', '', 'g'), '\', '/'), '/'), lambda x: x NOT IN ('', '.')), '/') AS path
   FROM files),
 orphans AS (
   SELECT * FROM named WHERE paper_key IS NOT NULL AND paper_key NOT IN (SELECT k FROM live)
