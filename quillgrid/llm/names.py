@@ -210,15 +210,15 @@ def segment_join(keys: DataFrame, within: str, text: str, edits: int = EDITS) ->
 
 
 def _forms(names: DataFrame) -> DataFrame:
-    """(name, n, kind, surname, given, is_short, middle) of each distinct name.
+    """(name, n, kind, surname, given, is_short) of each distinct name.
 
     Order without a comma: given names first, unless the last part is one that mostly stands first in other
     names and the first part is not.
     """
     parsed = names.withColumn("p", _parse("name")).select("name", "n", "p.*").where(F.col("kind") != "none")
     size = F.size("parts")
-    parsed = parsed.withColumn("first", F.element_at("parts", 1)).withColumn("last", F.element_at("parts", -1))
-    full = (size >= 2) & ~F.element_at("short", 1) & ~F.element_at("short", -1) & (F.col("kind") == "person")
+    parsed = parsed.withColumn("first", F.try_element_at("parts", F.lit(1))).withColumn("last", F.try_element_at("parts", F.lit(-1)))
+    full = (size >= 2) & ~F.try_element_at("short", F.lit(1)) & ~F.try_element_at("short", F.lit(-1)) & (F.col("kind") == "person")
     parsed = cut_lineage(parsed.withColumn("both_full", full))
     seen = parsed.where("both_full")
     stand = (
@@ -234,19 +234,24 @@ def _forms(names: DataFrame) -> DataFrame:
     ordered = parsed.join(lead, "first", "left").join(trail, "last", "left")
     turned = (
         F.col("both_full") & ~F.col("comma") & F.col("last_given").isNotNull() & F.col("first_given").isNull()
-    ) | ((F.col("kind") == "person") & (size >= 2) & ~F.element_at("short", 1) & F.element_at("short", -1))
+    ) | ((F.col("kind") == "person") & (size >= 2) & ~F.try_element_at("short", F.lit(1)) & F.try_element_at("short", F.lit(-1)))
     surname = F.when(F.col("kind") == "organisation", F.array_join("parts", " ")).when(turned, F.col("first")).otherwise(F.col("last"))
     given_at = F.when(turned, F.lit(2)).otherwise(F.lit(1))
-    given = F.when((F.col("kind") == "person") & (size >= 2), F.element_at("parts", given_at)).otherwise(F.lit(""))
-    return ordered.select(
+    given = F.when((F.col("kind") == "person") & (size >= 2), F.try_element_at("parts", given_at)).otherwise(F.lit(""))
+    two = (F.col("kind") == "person") & (size >= 3) & ~F.try_element_at("short", given_at) & ~F.try_element_at("short", given_at + 1)
+    forms = ordered.select(
         "name",
         "n",
         "kind",
         surname.alias("surname"),
         given.alias("given"),
-        ((F.col("kind") == "person") & (size >= 2) & F.element_at("short", given_at)).alias("is_short"),
-        (size == 1).alias("alone"),
+        ((F.col("kind") == "person") & (size >= 2) & F.try_element_at("short", given_at)).alias("is_short"),
+        F.when(two, F.concat(given, F.try_element_at("parts", given_at + 1))).alias("joined"),
     )
+    # Two given names that others write with a hyphen are one.
+    forms = cut_lineage(forms)
+    hyphened = forms.where("NOT is_short").select("surname", F.col("given").alias("joined"), F.lit(True).alias("one")).distinct()
+    return forms.join(hyphened, ["surname", "joined"], "left").withColumn("given", F.when(F.col("one"), F.col("joined")).otherwise(F.col("given"))).drop("joined", "one")
 
 
 def _hubs(keys: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:

@@ -86,7 +86,7 @@ def test_leaked_items(spark):
     added[15:15] = ["more"]
     del missing[9]
     cases = {
-        10: pad + stretch(5, 25) + pad, 11: pad[:3] + changed, 12: added + pad, 13: pad + missing, 14: stretch(0, 19) + ["x"] + pad,
+        10: pad + stretch(5, 25) + pad, 11: pad[:3] + changed, 12: added + pad, 13: pad + missing, 14: stretch(0, 17) + ["x"] + pad,
         15: pad + stretch(0, 9) + ["q"] + stretch(20, 30), 16: pad, 17: pad + stretch(40, 60, "term"),
     }
     three = stretch(10, 30)
