@@ -286,3 +286,50 @@ def test_matching(spark):
     assert got.confidence.between(0, 1).all() and len(got) == 5
     assert matching.match_references(r.where("bibkey = 'none'"), p, small).count() == 0
     assert matching.match_references(r, p.where("key = 'none'"), small).count() == 0
+
+
+def test_stretches_lose_no_pair():
+    rng = random.Random(6)
+    p = matching.Parameters()
+    for _ in range(3000):
+        words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(4, 9))]
+        title, ends = "".join(words), np.cumsum([len(w) for w in words]).tolist()
+        if len(title) < p.shortest:
+            continue
+        letters = list(title)
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(letters))
+            letters[at : at + rng.randint(0, 1)] = rng.choice(["", "x"])
+        x = "".join(letters)
+        if len(x) <= len(title) + 1:
+            assert set(matching.span_keys(x, p)) & set(matching.title_keys(title, ends, p)), (title, x)
+        cut = rng.choice([e for e in ends]) + rng.randint(-1, 1)
+        if matching.BEGINNING <= cut < len(title):
+            at = rng.randrange(cut)
+            x = title[:at] + "x" + title[at + 1 : cut]
+            assert set(matching.span_keys(x, p)) & set(matching.title_keys(title, ends, p)), (title, x)
+
+
+@pytest.mark.parametrize("size", [150, 2400])
+def test_recall_does_not_depend_on_the_number_of_papers(spark, size):
+    from datetime import datetime
+
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(500)]
+    titles = {f"k{i}": " ".join(rng.sample(vocabulary, 9)) for i in range(size)}
+    refs = []
+    for key in list(titles)[:150]:
+        letters = list(titles[key])
+        spots = rng.choice([(0, 5), (1, 9), (4, 14)])
+        for at in sorted(spots, reverse=True):
+            letters[at : at + rng.randint(0, 1)] = rng.choice(["", "q"])
+        refs.append(("s", key, None, "".join(letters), None, None))
+    day = datetime(2024, 1, 1)
+    r = spark.createDataFrame(refs, "src_key string, bibkey string, raw string, title string, doi string, arxiv_id string")
+    p = spark.createDataFrame(
+        [(k, t, None, None, "indexed", day, day) for k, t in titles.items()],
+        "key string, title string, doi string, arxiv_id string, status string, created_at timestamp, updated_at timestamp",
+    )
+    got = {(x.bibkey, x.paper_key) for x in matching.match_references(r, p, matching.Parameters(sample=200)).collect()}
+    want = {(k, k) for _, k, _, t, _, _ in refs if len(t.replace(" ", "")) <= len(titles[k].replace(" ", "")) + 1}
+    assert want <= got and len(want) > 90
