@@ -333,3 +333,20 @@ def test_recall_does_not_depend_on_the_number_of_papers(spark, size):
     got = {(x.bibkey, x.paper_key) for x in matching.match_references(r, p, matching.Parameters(sample=200)).collect()}
     want = {(k, k) for _, k, _, t, _, _ in refs if len(t.replace(" ", "")) <= len(titles[k].replace(" ", "")) + 1}
     assert want <= got and len(want) > 90
+
+
+def test_vectors_take_all_words():
+    p = matching.Parameters()
+    rng = np.random.default_rng(3)
+    encoder = matching.Encoder(rng.normal(size=(p.buckets, p.dimensions)).astype(np.float32), np.ones(p.slots, dtype=np.float32), 100, p)
+    a, b, c = encoder.vectors(["one two three four five six seven", "one two three four five other words", "oen tow three four five six seven"])
+    assert a @ b < 0.95 and a @ c > 0.6
+    assert (encoder.vectors(["one two three four five six"], p.head) == encoder.vectors(["one two three four five"])).all()
+
+
+def test_a_spoilt_beginning_is_found():
+    p = matching.Parameters()
+    ends = np.cumsum([len(w) for w in "zarefita and the problem of note retrieval".split()]).tolist()
+    title = "zarefitaandtheproblemofnoteretrieval"
+    for x in ("zaerfitaandtheproblemofnoteretrieval", "arefitandtheproblemofnoteretrieval", "zarefitaandtheproblemofnoteretreival"):
+        assert set(matching.span_keys(x, p)) & set(matching.title_keys(title, ends, p))
