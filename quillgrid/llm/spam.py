@@ -2,8 +2,8 @@
 
 Method: recurrence gaps and positional autocorrelation over the term sequence. Each run of text is judged by
 how soon its content terms come back (gap to the nearest earlier or later occurrence), by how strongly the
-sequence agrees with itself at small lags, and by whether function words hold it together; long lists of
-nouns without function words and bare links or tags count as well. A page is spam if such runs make up
+sequence agrees with itself (at small lags within the run, at any lag within the page), and by whether function
+words hold it together; long lists of nouns without function words and bare links or tags count as well. A page is spam if such runs make up
 more than half of it.
 """
 
@@ -58,6 +58,10 @@ class Rules:
     #: Largest lag of the autocorrelation, and the agreement at the best lag that counts as regular.
     lags: int = 15
     regular: float = 0.35
+    #: Share of a run's terms, function words aside, that stand again at one and the same distance, however far, and their least
+    #: number of occurrences, from which the run is a repeated sentence. Entries of lists that differ in a name stay below.
+    verbatim: float = 0.9
+    verbatim_times: int = 4
     #: Function words per term below which a run is a list, and the share of recurring terms it then needs.
     listed: float = 0.12
     recurring: float = 0.6
@@ -67,13 +71,16 @@ class Rules:
     #: The same for runs that are next to nothing but nouns.
     nouns_only: float = 0.02
     nouns_recurring: float = 0.25
+    #: Terms in a row without a function word from which they are a list even if none recurs.
+    noun_list: int = 60
     #: Share of numbers from which a run is a table, not a list.
     numbers: float = 0.35
     #: Most terms beside a link for the line to count as a bare link.
     beside_link: int = 6
     page: float = 0.5
-    #: A text without links and tags in which fewer content terms recur closely, and more function words
-    #: stand, than in a text half of which is stuffed or listed, isn't cut into runs.
+    #: A text without links and tags in which fewer content terms recur closely, and more function words stand, than in
+    #: a text half of which is stuffed or listed, has no such runs; contents pages are among these texts. It is still
+    #: searched for repeated sentences and for lists of nouns.
     plain_close: float = 0.1
     plain_held: float = 0.27
 
@@ -114,6 +121,37 @@ def autocorrelation(codes: np.ndarray, lags: int) -> np.ndarray:
     return apart / (n - np.arange(1, most + 1))
 
 
+def best_agreements(codes: np.ndarray, run_terms: int, lags: int) -> np.ndarray:
+    """The best ``autocorrelation`` of each run, the last run being the last ``run_terms`` positions; for all runs at once."""
+    if len(codes) < run_terms:
+        return autocorrelation(codes, lags).max(keepdims=True)
+    begin = np.minimum(np.arange(0, len(codes), run_terms), len(codes) - run_terms)
+    best = np.zeros(len(begin))
+    for lag in range(1, min(lags, run_terms // 2) + 1):
+        agree = np.concatenate([[0], np.cumsum(codes[lag:] == codes[:-lag])])
+        best = np.maximum(best, (agree[begin + run_terms - lag] - agree[begin]) / (run_terms - lag))
+    return best
+
+
+def verbatim_share(at: np.ndarray, codes: np.ndarray, places: list[np.ndarray]) -> float:
+    """Share of the positions ``at`` that agree with the ones before or after them at the best of all lags.
+
+    ``places`` holds the positions of each code, one of them at least beside those of ``at``.
+    """
+    lags = np.concatenate([np.unique(np.abs(places[codes[i]] - i)) for i in at.tolist()])
+    lags = lags[lags > 0]
+    return float(np.unique(lags, return_counts=True)[1].max() / len(at))
+
+
+def stretches_without(held: np.ndarray) -> np.ndarray:
+    """For each position, the length of the stretch around it in which ``held`` is false; 0 where it is true."""
+    bounds = np.flatnonzero(np.diff(np.concatenate([[True], held, [True]]).astype(np.int8)))
+    lengths = np.zeros(len(held), dtype=np.int64)
+    for a, b in zip(bounds[::2], bounds[1::2]):
+        lengths[a:b] = b - a
+    return lengths
+
+
 def _kind(word: str) -> int:
     """0 content, 1 function word, 2 number, 3 tag, 4 link."""
     if word in FUNCTION_WORDS:
@@ -154,8 +192,16 @@ def analyse(text: str | None, rules: Rules = Rules()) -> tuple[float, float, flo
     n_content = int(content.sum())
     close = float((gaps[content] <= rules.close_gap).sum() / n_content) if n_content else 0.0
     held = float((kinds == 1).sum() / n)
-    if close < rules.plain_close and held > rules.plain_held and kinds.max() < 3:
-        return (0.0, close, 0.0, held, n)
+    is_plain = close < rules.plain_close and held > rules.plain_held and kinds.max() < 3
+    times = np.bincount(codes)
+    often = (times >= rules.verbatim_times)[codes]
+    unheld = stretches_without(kinds == 1)
+    if is_plain and not (unheld >= rules.noun_list).any():
+        # Without a run most of whose terms occur often there is no repeated sentence.
+        begin = np.minimum(np.arange(0, n, rules.run_terms), max(n - rules.run_terms, 0))
+        total = lambda mask: np.diff(np.append(0, np.cumsum(mask))[np.stack([begin, np.minimum(begin + rules.run_terms, n)])], axis=0)
+        if (total(often & (kinds != 1)) < rules.verbatim * total(kinds != 1)).all():
+            return (0.0, close, float(best_agreements(codes, rules.run_terms, rules.lags).max()), held, n)
 
     chunks = _chunks(lower)
     size = np.array([len(TOKEN.findall(lower, a, b)) for a, b in chunks])
@@ -174,6 +220,8 @@ def analyse(text: str | None, rules: Rules = Rules()) -> tuple[float, float, flo
 
     rest = np.flatnonzero(spam[chunk_of] == 0)
     marked, strongest = np.zeros(n), 0.0
+    places = np.split(np.argsort(codes, kind="stable"), np.cumsum(times)[:-1]) if often[content].any() else []
+    bests = best_agreements(codes[rest], rules.run_terms, rules.lags)
     for s in range(0, len(rest), rules.run_terms):
         own = rest[s : s + rules.run_terms]
         run = own if len(own) == rules.run_terms else rest[-rules.run_terms :]
@@ -183,7 +231,7 @@ def analyse(text: str | None, rules: Rules = Rules()) -> tuple[float, float, flo
         near = gaps[run][inside]
         close_run = (near <= rules.close_gap).mean()
         held_run = (kinds[run] == 1).mean()
-        best = float(autocorrelation(codes[run], rules.lags).max())
+        best = float(bests[s // rules.run_terms])
         strongest = max(strongest, best)
         stuffed = close_run >= rules.stuffed + held_run
         regular = best >= rules.regular and close_run >= held_run + 0.05
@@ -194,8 +242,19 @@ def analyse(text: str | None, rules: Rules = Rules()) -> tuple[float, float, flo
             or (few and wide_run >= rules.few_recurring)
             or (held_run < rules.nouns_only and wide_run >= rules.nouns_recurring)
         )
-        if stuffed or regular or listed:
+        seen = not is_plain and (stuffed or regular or listed)
+        if not seen:
+            # Names, numbers and links between the run's terms count: where these change, it's a list with equal notes.
+            terms = run[0] + np.flatnonzero(kinds[run[0] : run[-1] + 1] != 1)
+            known = terms[often[terms]]
+            seen = len(known) >= rules.verbatim * len(terms) and verbatim_share(known, codes, places) * len(known) >= rules.verbatim * len(terms)
+        if seen:
             marked[own] = 1.0
+    # Each stretch is judged as a whole, so where runs begin doesn't matter.
+    nouns = unheld >= rules.noun_list
+    for a, b in zip(*(np.flatnonzero(np.diff(np.concatenate([[False], nouns, [False]]).astype(np.int8)))[k::2] for k in (0, 1))):
+        if (kinds[a:b] == 2).mean() < rules.numbers:
+            marked[a:b] = 1.0
     spam = np.maximum(spam, count(marked) / np.maximum(size, 1))
     return (float((spam * length).sum() / length.sum()), close, strongest, held, n)
 

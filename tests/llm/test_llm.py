@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -350,3 +351,18 @@ def test_a_spoilt_beginning_is_found():
     title = "zarefitaandtheproblemofnoteretrieval"
     for x in ("zaerfitaandtheproblemofnoteretrieval", "arefitandtheproblemofnoteretrieval", "zarefitaandtheproblemofnoteretreival"):
         assert set(matching.span_keys(x, p)) & set(matching.title_keys(title, ends, p))
+
+
+def test_spam_at_far_lags_and_lists_without_recurrence():
+    sentence = "We offer the cheapest essay that a tired student in your town could ever want to buy from those writers."
+    assert spam.analyse(sentence * 12)[0] > 0.5
+    long = "The finest garden chairs are now with us and their wooden legs were made by hand for you, while our cushions come from silk out of distant valleys."
+    assert spam.analyse(f"{long} " * 9)[0] > 0.5 and spam.analyse(f"{PROSE[:150]} {long}")[0] < 0.5
+    distinct = ["".join(c) for c in itertools.product("bdf", "aeiou", "klm", "aou")]
+    assert spam.analyse(", ".join(distinct))[0] > 0.5
+    assert spam.analyse("; ".join(" ".join(distinct[i : i + 8]) + " in the" for i in range(0, 120, 8)))[0] < 0.5
+    held = np.array([False, False, True, False])
+    assert spam.stretches_without(held).tolist() == [2, 2, 0, 1]
+    codes = np.random.default_rng(1).integers(0, 6, 100)
+    want = [spam.autocorrelation(codes[min(s, 70) : min(s, 70) + 30], 15).max() for s in range(0, 100, 30)]
+    assert spam.best_agreements(codes, 30, 15) == pytest.approx(want)
