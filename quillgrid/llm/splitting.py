@@ -2,7 +2,8 @@
 
 Method: recursive bisection. A text is cut at the strongest boundary near its midpoint; halves that exceed
 the limit less the overlap are cut again; then each piece but the first is given the end of the one before.
-Items made of many rows (sections) are first brought under a bound by the same bisection over their rows.
+Items made of many rows (sections) are first brought under a bound by the same bisection over their rows; the
+end of each such span is carried into the next, and piece numbers go on.
 """
 
 from __future__ import annotations
@@ -118,6 +119,42 @@ def _split_batches(limit: int, overlap: int):
     return run
 
 
+ENDS = T.StructType([*PIECES.fields[1:4], T.StructField("pieces", T.IntegerType()), T.StructField("end_text", T.StringType())])
+#: What parts the blocks of a section.
+BETWEEN = "\n\n"
+
+
+def _span_ends(limit: int, overlap: int):
+    """(pieces, end_text) of each span: what the span after it has to go on from."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, item, span, text in zip(batch["paper_key"], batch["item_id"], batch["span"], batch["text"] + BETWEEN):
+                parts = bisect(text, limit - overlap)
+                rows.append((key, item, span, len(parts), text[overlap_start(text, *parts[-1], overlap) :]))
+            yield pd.DataFrame(rows, columns=ENDS.names)
+
+    return run
+
+
+def _split_spans(limit: int, overlap: int):
+    """Pieces of the spans of a section, cut as for ``_span_ends``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples():
+                text = r.text if r.last else r.text + BETWEEN
+                repeated = r.before or ""
+                for i, (lo, hi) in enumerate(bisect(text, limit - overlap)):
+                    rows.append((r.item_kind, r.paper_key, r.item_id, r.span, r.first + i, len(repeated), repeated + text[lo:hi]))
+                    repeated = text[overlap_start(text, lo, hi, overlap) : hi]
+            yield pd.DataFrame(rows, columns=PIECES.names)
+
+    return run
+
+
 def _sizes_once(blocks: DataFrame) -> DataFrame:
     """(paper_key, section_id, n): the length of each block, repeats of (paper_key, id) counted once.
 
@@ -189,7 +226,7 @@ def section_spans(blocks: DataFrame, oversized: DataFrame, span_chars: int = SPA
         .withColumn("span", F.least(F.floor(share * F.col("n_spans")), F.col("n_spans") - 1).cast("bigint"))
         .groupBy("paper_key", "section_id", "span")
         .agg(F.array_sort(F.collect_list(F.struct("ordinal", "id", "text"))).alias("parts"))
-        .select("paper_key", "section_id", "span", F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("text"))
+        .select("paper_key", "section_id", "span", F.array_join(F.transform("parts", lambda p: p["text"]), BETWEEN).alias("text"))
     )
 
 
@@ -212,11 +249,31 @@ def split_sections(
     section_limit: int = SECTION_LIMIT,
     span_chars: int = SPAN_CHARS,
 ) -> DataFrame:
-    """Pieces of all sections whose blocks have more than ``section_limit`` characters together."""
-    spans = section_spans(blocks, oversized_sections(blocks, section_limit), span_chars).select(
-        F.lit("section").alias("item_kind"), "paper_key", F.col("section_id").alias("item_id"), "span", "text"
+    """Pieces of all sections whose blocks have more than ``section_limit`` characters together.
+
+    Sections of several spans are cut twice: for the ends of their spans, of which a window per section takes
+    no more than ``overlap`` characters each, and for the pieces.
+    """
+    if not 0 <= overlap < limit:
+        raise ValueError("the overlap must be smaller than the limit")
+    oversized = oversized_sections(blocks, section_limit)
+    small, large = (
+        section_spans(blocks, oversized.where(which), span_chars).select(
+            F.lit("section").alias("item_kind"), "paper_key", F.col("section_id").alias("item_id"), "span", "text"
+        )
+        for which in (F.col("n_chars") <= span_chars, F.col("n_chars") > span_chars)
+    )
+    ordered = Window.partitionBy("paper_key", "item_id").orderBy("span")
+    ends = large.mapInPandas(_span_ends(limit, overlap), ENDS).select(
+        "paper_key",
+        "item_id",
+        "span",
+        F.lag("end_text").over(ordered).alias("before"),
+        F.coalesce(F.sum("pieces").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"),
+        F.lead("span").over(ordered).isNull().alias("last"),
     )
-    return spans.mapInPandas(_split_batches(limit, overlap), PIECES)
+    following = large.join(ends, ["paper_key", "item_id", "span"]).mapInPandas(_split_spans(limit, overlap), PIECES)
+    return small.mapInPandas(_split_batches(limit, overlap), PIECES).unionByName(following)
 
 
 def split_library(blocks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, section_limit: int = SECTION_LIMIT) -> DataFrame:

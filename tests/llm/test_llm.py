@@ -366,3 +366,15 @@ def test_spam_at_far_lags_and_lists_without_recurrence():
     codes = np.random.default_rng(1).integers(0, 6, 100)
     want = [spam.autocorrelation(codes[min(s, 70) : min(s, 70) + 30], 15).max() for s in range(0, 100, 30)]
     assert spam.best_agreements(codes, 30, 15) == pytest.approx(want)
+
+
+def test_pieces_go_on_over_the_spans_of_a_section(spark):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(5, 300))) for _ in range(40)]
+    blocks = spark.createDataFrame([(i, "p", "s", i, "paragraph", t, 0) for i, t in enumerate(texts)], BLOCKS)
+    pieces = splitting.split_sections(blocks, span_chars=4_000).toPandas().sort_values("piece")
+    assert pieces.span.nunique() > 4 and pieces.piece.tolist() == list(range(len(pieces))) and pieces.span.is_monotonic_increasing
+    assert pieces.piece_text.str.len().max() <= 2000 and pieces.n_overlap.iloc[0] == 0 and pieces.n_overlap.iloc[1:].between(1, 200).all()
+    own = [t[n:] for t, n in zip(pieces.piece_text, pieces.n_overlap)]
+    assert "".join(own) == "\n\n".join(texts)
+    assert all(a.endswith(t[:n]) for a, t, n in zip(pieces.piece_text, pieces.piece_text[1:], pieces.n_overlap[1:]))
