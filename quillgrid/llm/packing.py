@@ -3,7 +3,8 @@
 Method: vector best-fit. A container has three capacities: tokens, documents, and attention cost (the sum of
 squared lengths). Items are taken from large to small; of the containers in which all three fit, the item
 goes to the one whose remaining capacities have the smallest weighted norm afterwards (or the largest
-weighted dot product with the item).
+weighted dot product with the item). An item that alone costs more attention than a container allows is not
+split for it, but has a container of its own.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 
 @dataclass(frozen=True)
 class Capacity:
+    """What a container holds at most; the three capacities are checked for every item."""
+
     tokens: int = 2_048
-    documents: int = 64
-    #: In squared tokens; the default leaves it to the token capacity alone to bind for one document.
-    attention: float = 2_048.0**2
+    documents: int = 32
+    #: In squared tokens. Below the square of the token capacity, else the token capacity would always bind first.
+    attention: float = 0.55 * 2_048.0**2
     #: Weights of tokens, documents and attention cost, each taken as a share of its capacity.
     weights: tuple[float, float, float] = (1.0, 0.05, 0.2)
     rule: str = "norm"
@@ -39,13 +42,18 @@ class Capacity:
 _ENCODERS: dict[str, object] = {}
 
 
-def encoder(path: str):
-    """The tokenizer of a rank file; loaded once per Python worker."""
+def rank_file(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def encoder(path: str, content: bytes | None = None):
+    """The tokenizer of a rank file, or of its content; built once per Python worker."""
     if path not in _ENCODERS:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        lines = (rank_file(path) if content is None else content).splitlines()
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         _ENCODERS[path] = tiktoken.Encoding(
             os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
@@ -87,7 +95,8 @@ def best_fit(sizes: np.ndarray, capacity: Capacity) -> np.ndarray:
             n_all += 1
         room[at] -= need
         placed[i] = names[at]
-        if room[at, 0] * capacity.tokens < least - 1e-6 or room[at, 1] * capacity.documents < 1 - 1e-6:
+        spent = room[at, 2] * capacity.attention < least * least - 1e-6
+        if spent or room[at, 0] * capacity.tokens < least - 1e-6 or room[at, 1] * capacity.documents < 1 - 1e-6:
             n_open -= 1
             room[at], names[at] = room[n_open], names[n_open]
     return placed
@@ -148,11 +157,12 @@ def pack_documents(
     document of at most ``capacity.tokens`` tokens is never split; a longer one is cut into full containers
     and a rest that is packed like a document. Null and empty texts have no tokens and are still
     assigned (0 tokens take a place among the documents of a container). Repeated rows are
-    packed as often as they are stored.
+    packed as often as they are stored. The driver reads the tokenizer's file, whose size is fixed, and ships it.
     """
+    shipped = documents.sparkSession.sparkContext.broadcast(rank_file(tokenizer))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer).encode_ordinary
+        encode = encoder(tokenizer, shipped.value).encode_ordinary
         base = TaskContext.get().partitionId() << 33
         ids, sizes, first = [], [], 0
         for batch in batches:
@@ -183,3 +193,36 @@ def container_report(packed: DataFrame, capacity: Capacity = Capacity()) -> Data
         (tokens / (F.count(F.lit(1)) * F.lit(capacity.tokens))).alias("utilisation"),
         F.ceil(tokens / F.lit(capacity.tokens)).alias("least_containers"),
     )
+
+
+def breaches(documents: DataFrame, packed: DataFrame, capacity: Capacity = Capacity(), doc: str = "doc_id") -> DataFrame:
+    """(id, breach): what an assignment must not have; no rows if it is right.
+
+    A container over a capacity (in attention only if it holds more than one part), a document that isn't assigned as often as it is
+    stored, one whose parts leave a gap, and one that was split although it fits. Sums are combined on the map side.
+    """
+    per = packed.groupBy(F.col("container").alias("id")).agg(
+        F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("d"), F.sum(F.col("n_tokens").cast("double") * F.col("n_tokens")).alias("a")
+    )
+    over = (
+        F.when(F.col("n") > capacity.tokens, "tokens")
+        .when(F.col("d") > capacity.documents, "documents")
+        .when((F.col("a") > capacity.attention) & (F.col("d") > 1), "attention")
+    )
+    stored = documents.groupBy(F.col(doc).alias("id")).agg(F.count(F.lit(1)).alias("stored"))
+    placed = packed.groupBy(F.col("doc_id").alias("k")).agg(
+        F.sum((F.col("part") == 0).cast("int")).alias("placed"),
+        F.sum("n_tokens").alias("n"),
+        F.count(F.lit(1)).alias("parts"),
+        F.sum(((F.col("token_from") != F.col("part") * capacity.tokens)).cast("int")).alias("gaps"),
+    )
+    wrong = (
+        F.when(~F.col("stored").eqNullSafe(F.col("placed")), "not assigned once")
+        .when(F.col("gaps") > 0, "gap")
+        .when((F.col("parts") > F.col("placed")) & (F.col("n") <= F.col("placed") * capacity.tokens), "split")
+    )
+    return (
+        per.select("id", over.alias("breach"))
+        .unionByName(stored.join(placed, F.col("id").eqNullSafe(F.col("k")), "full_outer").select(F.coalesce("id", "k").alias("id"), wrong.alias("breach")))
+        .where(F.col("breach").isNotNull())
+    )

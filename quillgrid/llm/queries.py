@@ -49,6 +49,12 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.container_report(p8_containers(spark, folder))
 
 
+def p8_breaches(spark: SparkSession, folder: str) -> DataFrame:
+    """No rows: every document assigned once, no container over a capacity."""
+    documents = table(spark, folder, "documents")
+    return packing.breaches(documents, packing.pack_documents(documents))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -72,12 +78,14 @@ QUERIES = {
     "p7_pieces": p7_pieces,
     "p8_containers": p8_containers,
     "p8_report": p8_report,
+    "p8_breaches": p8_breaches,
     "p9_found": p9_found,
     "p10_found": p10_found,
     "p10_scores": p10_scores,
 }
 
 ORACLE = {
+    "p8_breaches": "SELECT doc_id AS id, text AS breach FROM documents WHERE false",
     "p7_found": """
       WITH once AS (SELECT paper_key, id, any_value(section_id) AS section_id, max(coalesce(length(text), 0)) AS n FROM blocks GROUP BY 1, 2)
       SELECT 'block' AS item_kind, paper_key, id::VARCHAR AS item_id FROM once WHERE n > 2000
