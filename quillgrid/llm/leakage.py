@@ -25,15 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgrid.session import cut_lineage
+
 WORDS = 20
 EDITS = 2
 SHINGLE = 4
-#: Largest number of shingles of each partition; the last is that of two blocks of a long document.
-SIZES = (24, 40)
+#: Largest number of shingles of each partition; a longer document is cut into segments of the last size.
+SIZES = (18, 22, 27, 33, 40)
 #: Most probability that the sketch misses a stretch that is there.
 MISS = 1e-4
 #: Items held in memory by each worker; more are taken in blocks of this many.
 ITEM_BLOCK = 20_000
+#: Items that share a first line from which that line is an instruction.
+RECURRING = 3
 
 INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 TAG = re.compile(r"</?[A-Za-z!][^<>]{0,400}>")
@@ -61,29 +65,45 @@ def normal_words(text: str) -> list[str]:
     return WORD.findall(text.replace("\u2019", "").replace("'", "").replace("_", "").replace("*", "").lower())
 
 
-def item_bodies(items: list[tuple[int, str | None]], recurring: int = 3) -> list[tuple[int, list[str]]]:
-    """Words of each item without its opening instruction and answer choices.
+def opening_of(text: str | None) -> str | None:
+    """The first line of an item, if it may be an instruction: shorter than a stretch, and followed by more."""
+    lines = (text or "").strip().split("\n")
+    opening = lines[0].strip().lower()
+    return opening if len(lines) > 1 and len(WORD.findall(opening)) < WORDS else None
+
+
+def item_body(text: str | None, instructed: bool) -> list[str]:
+    """Words of an item without its opening instruction and its answer choices, the last lines from the first like ``A)``."""
+    lines = (text or "").strip().split("\n")[1 if instructed else 0 :]
+    for i, line in enumerate(lines):
+        if i and CHOICE.match(line):
+            lines = lines[:i]
+            break
+    return normal_words("\n".join(lines))
+
+
+def with_openings(items: DataFrame, recurring: int = RECURRING) -> DataFrame:
+    """(i, t, instructed) of (i, t), repeats collapsed: an opening that at least ``recurring`` of all items have is an instruction.
 
-    An instruction is a first line, shorter than a stretch, that opens at least ``recurring`` items and is
-    followed by more. Answer choices are the last lines from the first that begins like ``A)``.
+    Counted over the whole table, whatever the blocks in which it is searched later; items per opening are
+    counted after ``distinct``, combined on the map side.
     """
-    first = defaultdict(set)
-    for item, text in items:
-        lines = (text or "").strip().split("\n")
-        if len(lines) > 1:
-            first[lines[0].strip().lower()].add(item)
-    bodies = []
-    for item, text in items:
-        lines = (text or "").strip().split("\n")
-        opening = lines[0].strip().lower()
-        if len(lines) > 1 and len(first[opening]) >= recurring and len(WORD.findall(opening)) < WORDS:
-            lines = lines[1:]
-        for i, line in enumerate(lines):
-            if i and CHOICE.match(line):
-                lines = lines[:i]
-                break
-        bodies.append((item, normal_words("\n".join(lines))))
-    return bodies
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(o=batch["t"].map(opening_of))
+
+    opened = items.distinct().mapInPandas(run, "i long, t string, o string")
+    often = (
+        opened.where(F.col("o").isNotNull())
+        .select("o", "i")
+        .distinct()
+        .groupBy("o")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") >= recurring)
+        .select("o", F.lit(True).alias("instructed"))
+    )
+    return opened.join(often, "o", "left").select("i", "t", F.coalesce("instructed", F.lit(False)).alias("instructed"))
 
 
 def word_code(word: str) -> int:
@@ -295,16 +315,14 @@ def leaked_items(
 
     Items are the stated query set: they are read in blocks of at most ``item_block``, each block is shipped
     to the workers, and every document is searched for all of it where it is read; documents are never
-    shuffled. With more items than a block holds, the documents are passed over once per block. Null
+    shuffled. With more items than a block holds, the documents are passed over once per block, and a block's items are
+    released before the next; what an item's instruction is doesn't depend on the blocks. Null
     and empty texts and items with fewer than twenty words have no cases; repeated rows give one case.
     """
-    rows = benchmark.select(F.col(item).alias("i"), F.col(item_text).alias("t")).where(F.col("i").isNotNull())
-    parts: list[DataFrame] = []
-    block: list[tuple[int, str | None]] = []
-    seen: set[tuple[int, str | None]] = set()
+    rows = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).where(F.col("i").isNotNull())
+    context = documents.sparkSession.sparkContext
 
-    def scan(bodies: list[tuple[int, list[str]]]) -> DataFrame:
-        shipped = documents.sparkSession.sparkContext.broadcast(bodies)
+    def scan(shipped) -> DataFrame:
         name = uuid.uuid4().hex
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -338,16 +356,24 @@ def leaked_items(
 
         return documents.select(F.col(doc).alias("d"), F.col(text).alias("t")).where(F.col("d").isNotNull()).mapInPandas(run, FOUND)
 
-    for row in rows.toLocalIterator():
-        if (row.i, row.t) in seen:
-            continue
-        seen.add((row.i, row.t))
-        block.append((row.i, row.t))
+    parts: list[DataFrame] = []
+    block: list[tuple[int, list[str]]] = []
+
+    def search_block(last: bool) -> None:
+        shipped = context.broadcast(list(block))
+        block.clear()
+        hits = scan(shipped)
+        if last and not parts:
+            parts.append(hits)
+        else:  # one of several blocks: its hits are written, so that its items needn't stay
+            parts.append(cut_lineage(hits))
+            shipped.destroy()
+
+    for row in with_openings(rows).toLocalIterator():
         if len(block) == item_block:
-            parts.append(scan(item_bodies(block)))
-            block, seen = [], set()
-    if block or not parts:
-        parts.append(scan(item_bodies(block)))
+            search_block(False)
+        block.append((row.i, item_body(row.t, row.instructed)))
+    search_block(True)
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
