@@ -2,7 +2,9 @@
 
 Method: pigeonhole segment join. Two strings within k edits share at least one of k + 1 segments of the one,
 shifted by at most k in the other; segments stand in an inverted index, shifted substrings are looked up in
-it, and what meets is verified with banded edit distance. Surnames are joined so among equal given names,
+it, and what meets is verified with banded edit distance. A swap of neighbours counts as one edit here, but
+may break two segments, so strings are cut into 2k + 1. Strings too short for that many segments are met
+by what is left of both after up to k deletions. Surnames are joined so among equal given names,
 given names among equal surnames, so no list of the index gathers all bearers of a common name.
 Reordered parts, titles, initials, abbreviations and nicknames are resolved before and after it.
 """
@@ -13,17 +15,18 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgrid.session import cut_lineage
 
-EDITS = 2
-#: Shortest part that is compared with edits.
-SHORTEST = 4
+#: Edits (insertion, deletion, change, swap of neighbours) that two spellings of one part may be apart.
+EDITS = 1
+#: A changed letter in a part of fewer letters than this counts only if one spelling is so many times as frequent as the other.
+SHORT, TIMES = 4, 4
 
-# Common short forms of given names, as "full: short short ...".
+# Fixed values, the default of a parameter: common short forms of given names, as "full: short short ...".
 NICKNAMES = """
 alexander: alex sasha xander sandy lex aleks
 alexandra: alex sasha sandra lexi
@@ -158,34 +161,46 @@ def _parse(names: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_name(n) for n in names], columns=PARSED.names)
 
 
-def one_slip(a: str, b: str) -> bool:
-    """Whether one insertion, deletion, change or swap of neighbours turns ``a`` into ``b``."""
-    if abs(len(a) - len(b)) > 1:
-        return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    j = 0
-    while j < min(len(a), len(b)) - i and a[-1 - j] == b[-1 - j]:
-        j += 1
-    x, y = a[i : len(a) - j], b[i : len(b) - j]
-    return len(x) <= 1 and len(y) <= 1 or (len(x) == 2 and x == y[::-1])
+def edits_apart(a: Column, b: Column, edits: int) -> Column:
+    """Whether at most ``edits`` insertions, deletions, changes and swaps of neighbours (one swap at most) turn ``a`` into ``b``."""
+    swapped = lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a)))
+    places = F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1)))
+    with_swap = F.exists(places, lambda i: F.levenshtein(swapped(i), b, edits - 1) >= 0)
+    return (F.levenshtein(a, b, edits) >= 0) | ((F.abs(F.length(a) - F.length(b)) < edits) & with_swap)
 
 
-@F.pandas_udf(T.BooleanType())
-def _one_slip(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([one_slip(x, y) for x, y in zip(a, b)], dtype=bool)
+def _spread(df: DataFrame) -> DataFrame:
+    """Small tables that are about to be exploded: over all cores, as AQE would put them into one task."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 2))
 
 
-def segment_join(keys: DataFrame, within: str, text: str, edits: int = EDITS) -> DataFrame:
+def short_join(keys: DataFrame, within: str, text: str, edits: int, longest: int) -> DataFrame:
+    """Pairs (within, a, b) with equal ``within`` of which one has at most ``longest`` letters: equal after up to ``edits`` deletions each.
+
+    Texts of one letter name nobody and have no pairs.
+    """
+    base = keys.select(F.col(within).alias("w"), F.col(text).alias("t")).where(F.length("t").between(2, longest + edits)).distinct()
+    left = _spread(base).select("w", "t", F.col("t").alias("v"))
+    for _ in range(edits):
+        shorter = left.where(F.length("v") > 0).select(
+            "w", "t", F.explode(F.transform(F.sequence(F.lit(1), F.length("v")), lambda i: F.concat(F.substring(F.col("v"), F.lit(1), i - 1), F.substring(F.col("v"), i + 1, F.length("v"))))).alias("v")
+        )
+        left = left.unionByName(shorter).distinct()
+    left = left.where("v <> ''")
+    a, b = left.withColumnRenamed("t", "a"), left.withColumnRenamed("t", "b")
+    met = a.where(F.length("a") <= longest).join(b, ["w", "v"]).where(F.col("a") != F.col("b")).select("w", "a", "b")
+    return met.unionByName(met.select("w", F.col("b").alias("a"), F.col("a").alias("b"))).distinct().select(F.col("w").alias(within), "a", "b")
+
+
+def segment_join(keys: DataFrame, within: str, text: str, edits: int = 2 * EDITS) -> DataFrame:
     """Pairs of different ``text`` with equal ``within`` at most ``edits`` apart: (within, a, b), both ways round.
 
     ``keys`` holds distinct (within, text). Each text is cut into ``edits`` + 1 segments, whose place follows from
     its length; a probe looks up, for each length within ``edits`` of its own, the substrings at most ``edits``
-    off each segment's place. Texts shorter than ``edits`` + 1 have no segments and no pairs.
+    off each segment's place. Texts shorter than ``edits`` + 1 have no segments and no pairs; see :func:`short_join`.
     """
     n = edits + 1
-    base = keys.select(F.col(within).alias("w"), F.col(text).alias("t")).where(F.length("t") >= n).distinct()
+    base = _spread(keys.select(F.col(within).alias("w"), F.col(text).alias("t")).where(F.length("t") >= n).distinct())
     # Segment i of a text of length l: start floor(l * i / n), end floor(l * (i + 1) / n), counted from 0.
     index = base.select(
         "w",
@@ -254,82 +269,95 @@ def _forms(names: DataFrame) -> DataFrame:
     return forms.join(hyphened, ["surname", "joined"], "left").withColumn("given", F.when(F.col("one"), F.col("joined")).otherwise(F.col("given"))).drop("joined", "one")
 
 
-def _hubs(keys: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """(surname, given, root): each key follows its most frequent near neighbour up to the one that leads on.
+def slips(keys: DataFrame, within: str, text: str, edits: int) -> DataFrame:
+    """(within, a, b), both ways round: different ``text`` with equal ``within`` at most ``edits`` apart, whatever their length."""
+    long = segment_join(keys, within, text, 2 * edits)
+    short = short_join(keys, within, text, edits, 2 * edits)
+    return long.unionByName(short).distinct().where(edits_apart(F.col("a"), F.col("b"), edits))
+
 
-    A key only follows a more frequent one (of equal ones the smaller), so there are no circles. Keys are one
-    slip apart in either the surname or the given name, the other being equal.
+def _roots(edges: DataFrame) -> DataFrame:
+    """(key, root) for every key with an edge: the most frequent key (of equal ones the first) that edges lead to.
+
+    Each round a key takes the best root among its own, its neighbours' and its root's, until none changes, so
+    the number of rounds follows from the data and no link is lost, however long a chain is.
     """
-    steps = (
-        edges.where((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("key_a") > F.col("key_b"))))
-        .groupBy(F.col("key_a").alias("key"))
-        .agg(F.max(F.struct("n_b", "key_b"))["key_b"].alias("root"))
+    edges = cut_lineage(edges.select("key_a", "key_b", "n_a", "n_b"))
+    best = lambda n, key: F.struct((-F.col(n)).alias("n"), F.col(key).alias("key"))
+    roots = edges.groupBy(F.col("key_a").alias("key")).agg(
+        F.least(F.min(best("n_a", "key_a")), F.min(best("n_b", "key_b"))).alias("root")
     )
-    roots = keys.select("key").join(steps, "key", "left").select("key", F.coalesce("root", "key").alias("root"))
     roots = cut_lineage(roots)
-    for _ in range(rounds):
-        up = roots.where(F.col("key") != F.col("root")).select(F.col("key").alias("root"), F.col("root").alias("above"))
-        roots = roots.join(up, "root", "left").select("key", F.coalesce("above", "root").alias("root"))
-    return roots
-
-
-def link_names(authors: DataFrame, column: str = "name", edits: int = EDITS) -> DataFrame:
+    while True:
+        near = edges.join(roots.withColumnRenamed("key", "key_b"), "key_b").groupBy(F.col("key_a").alias("key")).agg(F.min("root").alias("near"))
+        above = roots.select(F.col("key").alias("at"), F.col("root").alias("above"))
+        after = (
+            roots.join(near, "key", "left")
+            .withColumn("at", F.col("root.key"))
+            .join(above, "at", "left")
+            .select("key", F.least("root", "near", "above").alias("next"), (F.least("root", "near", "above") != F.col("root")).alias("moved"))
+        )
+        after = cut_lineage(after)
+        roots = after.select("key", F.col("next").alias("root"))
+        if after.where("moved").isEmpty():
+            return roots.select("key", F.col("root.key").alias("root"))
+
+
+def link_names(authors: DataFrame, column: str = "name", edits: int = EDITS, nicknames: dict[str, list[str]] | None = None) -> DataFrame:
     """(name, entity): every distinct name that is no placeholder, exactly as stored, and what it stands for.
 
     Null, empty and placeholder names stand for nobody and are left out. A name of one part, or one whose initial
     or nickname fits several persons of about equal frequency, is an entity of its own. Repeated rows only
-    add to the frequency of a spelling.
+    add to the frequency of a spelling. ``nicknames`` gives the full names of each short form; the default is a
+    table of common ones.
     """
     names = authors.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    nick = F.create_map(*[x for k, v in TARGETS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    forms = cut_lineage(_forms(names).withColumn("targets", nick[F.col("given")]))
+    table = TARGETS if nicknames is None else nicknames
+    nick = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]) if table else None
+    forms = _forms(names).withColumn("targets", nick[F.col("given")] if table else F.lit(None).cast("array<string>"))
+    forms = cut_lineage(forms)
     short = F.col("is_short") | F.col("targets").isNotNull()
 
     key = F.concat_ws("|", "surname", "given")
-    full = forms.where(~short).groupBy("surname", "given").agg(F.sum("n").alias("n")).withColumn("key", key)
-    full = cut_lineage(full)
-    long_enough = full.where(F.length("surname") >= SHORTEST)
-    by_surname = segment_join(long_enough.where(F.length("given") > 0), "given", "surname", edits).select(
-        F.concat_ws("|", "a", "given").alias("key_a"), F.concat_ws("|", "b", "given").alias("key_b"), "a", "b"
-    )
-    by_given = segment_join(full.where(F.length("given") >= SHORTEST), "surname", "given", edits).select(
-        F.concat_ws("|", "surname", "a").alias("key_a"), F.concat_ws("|", "surname", "b").alias("key_b"), "a", "b"
-    )
-    organisations = segment_join(long_enough.where(F.length("given") == 0), "given", "surname", edits).select(
-        F.concat_ws("|", "a", "given").alias("key_a"), F.concat_ws("|", "b", "given").alias("key_b"), "a", "b"
+    full = cut_lineage(forms.where(~short).groupBy("surname", "given").agg(F.sum("n").alias("n")).withColumn("key", key))
+    # A person's surname among those of equal given name, an organisation's among those without one; given names among equal surnames.
+    parts = full.select(F.concat(F.lit("s|"), "given").alias("w"), F.col("surname").alias("t")).unionByName(
+        full.where(F.length("given") > 0).select(F.concat(F.lit("g|"), "surname").alias("w"), F.col("given").alias("t"))
     )
+    whole = lambda part: F.when(F.col("w").startswith("s|"), F.concat_ws("|", part, F.substring("w", 3, 1 << 30))).otherwise(F.concat_ws("|", F.substring("w", 3, 1 << 30), part))
+    apart = slips(parts, "w", "t", edits).select(whole("a").alias("key_a"), whole("b").alias("key_b"), "a", "b")
     weight = full.select("key", F.col("n"))
+    brief = (F.length("a") == F.length("b")) & (F.length("a") < SHORT)
     edges = (
-        by_surname.unionByName(by_given)
-        .unionByName(organisations)
-        .where(_one_slip("a", "b"))
-        .join(weight.select(F.col("key").alias("key_a"), F.col("n").alias("n_a")), "key_a")
+        apart.join(weight.select(F.col("key").alias("key_a"), F.col("n").alias("n_a")), "key_a")
         .join(weight.select(F.col("key").alias("key_b"), F.col("n").alias("n_b")), "key_b")
+        .where(~brief | (F.greatest("n_a", "n_b") >= TIMES * F.least("n_a", "n_b")))
     )
-    roots = cut_lineage(_hubs(full, edges))
-    settled = full.join(roots, "key")
+    roots = _roots(edges)
+    settled = cut_lineage(full.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
 
-    # Initials, abbreviations and nicknames go to the person of that surname they fit, if that is one.
+    # Initials, abbreviations and nicknames go to the person of that surname they fit, if that is one. The bearers of
+    # each beginning of a given name are added up first, so a common surname makes no more rows than it has bearers.
     shorts = (
         forms.where(short)
-        .select("surname", "given", F.coalesce("targets", F.array("given")).alias("targets"))
+        .select("surname", "given", F.coalesce("targets", F.array("given")).alias("t"))
         .distinct()
-        .select("surname", "given", F.explode("targets").alias("start"))
-        .withColumn("letter", F.substring("start", 1, 1))
+        .select("surname", "given", F.explode(F.filter("t", lambda x: ~F.exists("t", lambda y: (y != x) & x.startswith(y)))).alias("start"))
     )
     bearers = (
         settled.where(F.length("given") > 0)
         .groupBy("surname", "root")
         .agg(F.sum("n").alias("n"), F.max(F.struct("n", "given"))["given"].alias("full_given"))
-        .withColumn("letter", F.substring("full_given", 1, 1))
+    )
+    beginnings = (
+        bearers.select("surname", "root", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("full_given")), lambda i: F.substring(F.col("full_given"), F.lit(1), i))).alias("start"))
+        .groupBy("surname", "start")
+        .agg(F.max(F.struct("n", "root")).alias("best"), F.sum("n").alias("all_n"))
     )
     fits = (
-        shorts.join(bearers, ["surname", "letter"])
-        .where(F.col("full_given").startswith(F.col("start")))
-        .groupBy("surname", "given", "root")
-        .agg(F.max("n").alias("n"))
+        shorts.join(beginnings, ["surname", "start"])
         .groupBy("surname", "given")
-        .agg(F.max(F.struct("n", "root")).alias("best"), F.sum("n").alias("all_n"))
+        .agg(F.max("best").alias("best"), F.sum("all_n").alias("all_n"))
         .where(F.col("best.n") * 4 >= F.col("all_n") * 3)
         .select("surname", "given", F.col("best.root").alias("root"))
     )
