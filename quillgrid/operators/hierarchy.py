@@ -44,60 +44,42 @@ def links(rows: DataFrame, tree: str, node: str, parent: str, order: str | None
     ).select("tree", "node", F.col("k_node").alias("parent"))
 
 
-def build_hierarchy(link_rows: DataFrame, max_levels: int | None = None) -> Hierarchy:
+def build_hierarchy(link_rows: DataFrame, max_levels: int | None = None, paths: bool = True) -> Hierarchy:
     """Reach every node from its root, level by level.
 
-    ``link_rows`` as from :func:`links`. The number of rounds is the depth of the deepest tree; each round
-    joins on (tree, parent), not on the tree alone, so a tree with a third of all rows is spread; a
-    parent with very many children is split by AQE's skew join, as the children are the larger side.
-    ``max_levels`` raises instead of truncating when a chain is deeper.
+    ``link_rows`` as from :func:`links`. The number of rounds is the depth of the deepest tree. A round joins the nodes
+    not yet reached with the frontier and writes them once, marked reached or not; only those left over take part in
+    the next, so what is shuffled shrinks with the trees. Joins are on (tree, parent), not on the tree alone, so a tree
+    with a third of all rows is spread; a parent with very many children is split by AQE's skew join, as the children
+    are the larger side. What no round reaches hangs on a cycle. ``max_levels`` raises instead of truncating when a chain
+    is deeper. Without ``paths`` the frontier carries names only, and ``nodes`` has tree and node alone.
     """
     edges = cut_lineage(link_rows)
-    children = edges.where(F.col("parent").isNotNull()).select(
-        F.col("tree").alias("c_tree"), F.col("node").alias("child"), F.col("parent").alias("c_parent")
-    )
-    frontier = edges.where(F.col("parent").isNull()).select(
-        "tree",
-        "node",
-        F.lit(None).cast("string").alias("parent"),
-        F.col("node").alias("root"),
-        F.lit(0).alias("depth"),
-        F.array("node").alias("path"),
-    )
+    carried = ["root", "depth", "path"] if paths else []
+    begin = {"root": F.col("node"), "depth": F.lit(0), "path": F.array("node")}
+    frontier = edges.where(F.col("parent").isNull()).select("tree", "node", "parent", *[begin[c].alias(c) for c in carried])
+    waiting = edges.where(F.col("parent").isNotNull())
     levels = [frontier]
-    depth = 0
-    left = children.count()
-    while left:
-        step = frontier.join(
-            children, F.col("c_tree").eqNullSafe(F.col("tree")) & (F.col("c_parent") == F.col("node"))
-        ).select(
-            "tree",
-            F.col("child").alias("node"),
-            F.col("c_parent").alias("parent"),
-            "root",
-            (F.col("depth") + 1).alias("depth"),
-            F.concat("path", F.array("child")).alias("path"),
+    while True:
+        met = frontier.select(F.col("tree").alias("f_tree"), F.col("node").alias("f_node"), *[F.col(c).alias(f"f_{c}") for c in carried])
+        after = {"root": F.col("f_root"), "depth": F.col("f_depth") + 1, "path": F.concat("f_path", F.array("node"))}
+        step = cut_lineage(
+            waiting.join(met, F.col("tree").eqNullSafe(F.col("f_tree")) & (F.col("parent") == F.col("f_node")), "left").select(
+                "tree", "node", "parent", *[after[c].alias(c) for c in carried], F.col("f_node").isNotNull().alias("reached")
+            ),
+            bare=True,
         )
-        frontier = cut_lineage(step)
-        got = frontier.count()
-        if not got:
+        frontier = step.where("reached").drop("reached")
+        waiting = step.where("NOT reached").select("tree", "node", "parent")
+        if frontier.isEmpty():
             break
         levels.append(frontier)
-        depth += 1
-        left -= got
-        if max_levels is not None and depth > max_levels:
+        if max_levels is not None and len(levels) - 1 > max_levels:
             raise ValueError(f"a chain of parents is deeper than {max_levels}")
     nodes = levels[0]
     for level in levels[1:]:
         nodes = nodes.unionByName(level)
-    if left:
-        reached = nodes.select(F.col("tree").alias("r_tree"), F.col("node").alias("r_node"))
-        spoilt = edges.join(
-            reached, F.col("tree").eqNullSafe(F.col("r_tree")) & (F.col("node") == F.col("r_node")), "left_anti"
-        )
-    else:
-        spoilt = edges.where(F.lit(False))
-    return Hierarchy(nodes, spoilt.select("tree", "node", "parent"))
+    return Hierarchy(nodes if paths else nodes.select("tree", "node"), waiting)
 
 
 def ancestor_pairs(nodes: DataFrame) -> DataFrame:

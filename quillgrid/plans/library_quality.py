@@ -41,13 +41,13 @@ def p4_inlines(spark: SparkSession, folder: str) -> DataFrame:
     return nested.inlines(_flat(spark, folder), "record_id")
 
 
-def _trees(spark: SparkSession, folder: str) -> hierarchy.Hierarchy:
+def _trees(spark: SparkSession, folder: str, paths: bool = True) -> hierarchy.Hierarchy:
     rows = table(spark, folder, "sections")
-    return hierarchy.build_hierarchy(hierarchy.links(rows, "paper_key", "section_id", "parent_id", "ordinal"))
+    return hierarchy.build_hierarchy(hierarchy.links(rows, "paper_key", "section_id", "parent_id", "ordinal"), paths=paths)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _trees(spark, folder).spoilt.select(F.col("tree").alias("paper_key"), F.col("node").alias("section_id"))
+    return _trees(spark, folder, paths=False).spoilt.select(F.col("tree").alias("paper_key"), F.col("node").alias("section_id"))
 
 
 def p5_paths(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,6 +69,16 @@ def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every section with each of its descendants."""
+    return hierarchy.ancestor_pairs(_trees(spark, folder).nodes).select(
+        F.col("tree").alias("paper_key"),
+        F.col("ancestor").alias("section_id"),
+        F.col("descendant").alias("descendant_id"),
+        F.col("distance").cast("bigint").alias("distance"),
+    )
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_monthly": p3_monthly,
@@ -79,6 +89,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_paths": p5_paths,
     "p5_descendants": p5_descendants,
+    "p5_pairs": p5_pairs,
 }
 
 _ORPHANS = r"""
@@ -129,6 +140,9 @@ ORACLE = {
     "p5_found": _TREES
     + "SELECT paper_key, section_id FROM linked EXCEPT SELECT paper_key, section_id FROM walk",
     "p5_paths": _TREES + "SELECT paper_key, section_id, root_id, depth, path FROM walk",
+    "p5_pairs": _TREES
+    + """SELECT paper_key, steps[i] AS section_id, section_id AS descendant_id, depth - (i - 1) AS distance
+      FROM (SELECT paper_key, section_id, steps, depth, unnest(range(1, depth + 1)) AS i FROM walk WHERE depth > 0)""",
     "p5_descendants": _TREES
     + """SELECT paper_key, steps[i] AS section_id, count(*) AS n_descendants, max(depth - (i - 1)) AS height
       FROM (SELECT paper_key, steps, depth, unnest(range(1, depth + 1)) AS i FROM walk WHERE depth > 0) GROUP BY 1, 2""",

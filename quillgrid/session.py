@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -44,16 +46,26 @@ def checkpoint_folder(spark: SparkSession) -> str:
         return current.get()
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="quillgrid-checkpoint-")
+    folder = tempfile.mkdtemp(prefix="quillgrid-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that lost executors cost no recomputation."""
+def cut_lineage(df: DataFrame, bare: bool = False) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder, so that lost executors cost no recomputation.
+
+    A checkpoint remembers the order, partitioning and constraints of its rows in terms of the plan that made it. In a loop that
+    joins parts of one checkpoint with each other what is remembered doubles each round; ``bare`` leaves it out.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(checkpoint_folder(spark))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    if not bare:
+        return kept
+    rows = kept._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
 
 
 _SHIPPED: set[str] = set()
@@ -65,7 +77,9 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="quillgrid-package-"), "quillgrid.zip")
+    folder = tempfile.mkdtemp(prefix="quillgrid-package-")  # read by the driver alone, which serves it to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "quillgrid.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, names in os.walk(os.path.join(root, "quillgrid")):
             for name in names:
