@@ -12,8 +12,8 @@ from quillgrid.functions.urls import none_if_empty, trimmed
 
 def slug(text: Column, longest: int = 80) -> Column:
     """Lower case, runs of other signs than letters, digits, ``._-`` as one dash; ``paper`` if nothing is left."""
-    clean = F.regexp_replace(F.regexp_replace(F.lower(trimmed(text)), r"[^a-zA-Z0-9._-]+", "-"), "-+", "-")
-    clean = F.coalesce(none_if_empty(F.regexp_replace(clean, "^-+|-+$", "")), F.lit("paper"))
+    words = F.filter(F.split(F.lower(trimmed(text)), "[^a-z0-9._]+"), lambda w: w != "")
+    clean = F.coalesce(none_if_empty(F.array_join(words, "-")), F.lit("paper"))
     cut = F.when(F.length(clean) > longest, F.regexp_replace(F.substring(clean, 1, longest), r"[-.]+$", "")).otherwise(clean)
     return F.coalesce(none_if_empty(cut), F.lit("paper"))
 
@@ -26,7 +26,10 @@ def normal_label(label: Column) -> Column:
 def natural_key(text: Column) -> Column:
     """Sorts digit runs by value and the rest in lower case."""
     runs = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(r, 20, "0")).otherwise(F.lower(r))), "")
+    # The number of digits goes before them, padded, so runs of any length sort by value.
+    number = lambda r: F.regexp_replace(r, "^0+(?=.)", "")
+    padded = lambda r: F.concat(F.lpad(F.length(number(r)).cast("string"), 10, "0"), number(r))
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), padded(r)).otherwise(F.lower(r))), "")
 
 
 def first_year(text: Column) -> Column:
@@ -50,6 +53,25 @@ def yaml_string(text: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
 
 
+def yaml_list(values: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(values, yaml_string), ", "), F.lit("]"))
+
+
+def front_matter(title: Column, key: Column, source: Column, extractor: Column, authors: Column, more: dict[str, Column]) -> Column:
+    """YAML lines between dashes: title, key, source and extractor always, the others in the given order if they hold anything."""
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value)
+    full = lambda c: none_if_empty(c.cast("string"))
+    optional = [F.when(F.size(authors) > 0, line("authors", yaml_list(authors)))]
+    optional += [F.when(full(c).isNotNull(), line(name, yaml_string(full(c)))) for name, c in more.items()]
+    fixed = [line("title", yaml_string(F.coalesce(title, F.lit("")))), line("key", F.coalesce(key, F.lit(""))), line("source", F.coalesce(source, F.lit(""))), line("extractor", F.coalesce(extractor, F.lit("")))]
+    return F.array_join(F.array_compact(F.array(F.lit("---"), *fixed, *optional, F.lit("---"))), "\n")
+
+
+def utc_stamp(time: Column) -> Column:
+    """ISO 8601 with the zone and without fractions; the session's zone is UTC."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
 def escape_html(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(a), F.lit(b))
@@ -66,18 +88,18 @@ def code_fence(text: Column, least: int = 3) -> Column:
     return F.repeat(F.lit("`"), F.greatest(F.lit(least), F.coalesce(F.array_max(runs), F.lit(0)) + 1))
 
 
+#: What Markdown puts around text, and what stays of it.
+_FENCED = r"```[^\n]*\n?([^`]*(?:`{1,2}[^`]+)*)```"
+_LABELLED = r"!?\[([^\]]*)\]\([^)]*\)"
+_LINE_MARK = r"(?<=^|\n)#{1,6}[ \t\x0B\f\r\n]*"
+
+
 def strip_markdown(text: Column) -> Column:
-    """Plain text of Markdown: fences opened, links and images to their text, marks of headings and emphasis dropped."""
-    steps = [
-        (r"(?s)```[^\n]*\n?(.*?)```", "$1"),
-        (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"(?m)^#{1,6}\s*", ""),
-        (r"[*_`>]", ""),
-    ]
-    for pattern, new in steps:
-        text = F.regexp_replace(text, pattern, new)
-    return F.concat(trimmed(text), F.lit("\n"))
+    """Plain text of Markdown: of fences, links and images what they hold; marks of headings, emphasis, code and quotes dropped."""
+    unfenced = F.regexp_replace(text, _FENCED, "$1")
+    unlinked = F.regexp_replace(unfenced, _LABELLED, "$1")
+    unmarked = F.translate(F.regexp_replace(unlinked, _LINE_MARK, ""), "*_`>", "")
+    return F.concat(trimmed(unmarked), F.lit("\n"))
 
 
 def caption_label(text: Column) -> Column:

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgrid.operators.library import TRACKED
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the key closes an open element of the values.
 CLOSES = {
@@ -104,8 +106,13 @@ def squeeze(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
 
+#: Formulas that came out of the capture at hand, by identity; counted against those it holds.
+_MET: set[int] = set()
+
+
 def tex_of(node: Element) -> str:
     """LaTeX of a math element: alttext, tex, data-semantic-latex, then its TeX annotation, then its text."""
+    _MET.add(id(node))
     for name in ("alttext", "tex", "data-semantic-latex"):
         if node.attrs.get(name):
             return node.attrs[name].strip()
@@ -138,8 +145,14 @@ def inline_text(node: Element, skip: tuple[str, ...] = (), markdown: bool = Fals
         elif c.tag == "br":
             out.append(" ")
         elif "ltx_note" in c.classes:
-            mark = next((e for e in c.walk() if "ltx_note_mark" in e.classes), None)
-            out.append(f"[^{squeeze(mark.text()) if mark else ''}]" if markdown else "")
+            out.append(f"[^{note_mark(c)}]" if markdown else "")
+        elif c.tag == "cite" or "ltx_cite" in c.classes:
+            keys = [e.attrs["href"].rpartition("#")[2] for e in c.walk() if e.tag == "a" and "#" in e.attrs.get("href", "")]
+            label = squeeze(c.text())
+            out.append(f"[{', '.join(('@' if markdown else '') + k for k in keys)}]" if keys else label if label.startswith("[") else f"[{label}]")
+        elif c.tag in ("sup", "sub") and markdown:
+            inner = inline_text(c, skip, markdown).strip()
+            out.append(f"<{c.tag}>{inner}</{c.tag}>" if inner else "")
         else:
             inner = inline_text(c, skip, markdown)
             if markdown and inner.strip():
@@ -155,6 +168,25 @@ def inline_text(node: Element, skip: tuple[str, ...] = (), markdown: bool = Fals
     return "".join(out)
 
 
+def note_mark(note: Element) -> str:
+    """The mark that a note shows, or the number it was given."""
+    mark = next((e for e in note.walk() if "ltx_note_mark" in e.classes), None)
+    return (squeeze(mark.text()) if mark else "") or note.attrs.get("data-number", "")
+
+
+def number_notes(root: Element) -> None:
+    """Notes without a mark are numbered by their place among all notes."""
+    for n, note in enumerate((e for e in root.walk() if "ltx_note" in e.classes), 1):
+        note.attrs["data-number"] = str(n)
+
+
+def alignment(classes: list[str]) -> str | None:
+    for name, own in (("center", ("ltx_align_center", "ltx_align_middle")), ("right", ("ltx_align_right",)), ("left", ("ltx_align_left",))):
+        if any(c in classes for c in own):
+            return name
+    return None
+
+
 def code_span(text: str) -> str:
     run = max((len(r) for r in re.findall("`+", text)), default=0)
     fence = "`" * (run + 1)
@@ -163,7 +195,7 @@ def code_span(text: str) -> str:
 
 
 def table_cells(table: Element) -> list[list[dict]]:
-    """Rows of cells: text, rowspan, colspan, header."""
+    """Rows of cells: text, rowspan, colspan, header, align."""
     rows = []
     for tr in (e for e in table.walk() if e.tag == "tr"):
         cells = [c for c in tr.children if isinstance(c, Element) and c.tag in ("td", "th")]
@@ -176,7 +208,7 @@ def table_cells(table: Element) -> list[list[dict]]:
                 at = at.parent
             rows.append(
                 [
-                    {"text": squeeze(inline_text(c)), "rowspan": max(span(c, "rowspan"), 1), "colspan": max(span(c, "colspan"), 1), "header": c.tag == "th" or in_head}
+                    {"text": squeeze(inline_text(c)), "rowspan": max(span(c, "rowspan"), 1), "colspan": max(span(c, "colspan"), 1), "header": c.tag == "th" or in_head, "align": alignment(c.classes)}
                     for c in cells
                 ]
             )
@@ -184,7 +216,7 @@ def table_cells(table: Element) -> list[list[dict]]:
 
 
 def expand_table(rows: list[list[dict]]) -> list[list[str]]:
-    """The grid of a table with spans: each cell's text stands in every place that it covers."""
+    """The grid of a table with spans: each cell's text stands in every place that it covers, below the last row too."""
     grid: list[dict[int, str]] = []
     for r, row in enumerate(rows):
         while len(grid) <= r:
@@ -199,7 +231,6 @@ def expand_table(rows: list[list[dict]]) -> list[list[str]]:
                 for right in range(cell.get("colspan", 1)):
                     grid[r + down].setdefault(column + right, cell["text"])
             column += cell.get("colspan", 1)
-    grid = grid[: len(rows)]
     width = max((max(g, default=-1) + 1 for g in grid), default=0)
     return [[g.get(k, "") for k in range(width)] for g in grid]
 
@@ -222,23 +253,34 @@ def table_html(rows: list[list[dict]]) -> str:
     return "\n".join([*lines, "</table>"])
 
 
+def header_rows(rows: list[list[dict]]) -> int:
+    """Rows at the top whose cells are all headers."""
+    return next((i for i, row in enumerate(rows) if not all(c.get("header") for c in row)), len(rows))
+
+
+def has_spans(rows: list[list[dict]]) -> bool:
+    """Whether the table has spans, or more than one header row, so that it is no plain grid."""
+    return header_rows(rows) > 1 or any(c.get("rowspan", 1) > 1 or c.get("colspan", 1) > 1 for row in rows for c in row)
+
+
 def table_markdown(rows: list[list[dict]]) -> str:
     """A pipe table if it is rectangular, without spans and with at most one header row; else HTML."""
-    spans = any(c.get("rowspan", 1) > 1 or c.get("colspan", 1) > 1 for row in rows for c in row)
-    headers = sum(all(c.get("header") for c in row) for row in rows)
-    if not rows or spans or headers > 1 or len({len(r) for r in rows}) != 1:
+    if not rows or has_spans(rows) or len({len(r) for r in rows}) != 1:
         return table_html(rows)
+    rule = {"center": ":---:", "right": "---:", "left": ":---"}
     cell = lambda c: c["text"].replace("|", "\\|").replace("\n", " ")
     line = lambda row: "| " + " | ".join(map(cell, row)) + " |"
-    return "\n".join([line(rows[0]), "|" + "---|" * len(rows[0]), *map(line, rows[1:])])
+    return "\n".join([line(rows[0]), "|" + "".join(rule.get(c.get("align"), "---") + "|" for c in rows[0]), *map(line, rows[1:])])
 
 
 BLOCK = T.StructType(
     [T.StructField("ordinal", T.IntegerType())]
     + [T.StructField(n, T.StringType()) for n in ("kind", "block_id")]
     + [T.StructField("level", T.IntegerType())]
-    + [T.StructField(n, T.StringType()) for n in ("label", "text", "markdown", "table_csv")]
-    + [T.StructField("images", T.ArrayType(T.StringType())), T.StructField("n_rows", T.IntegerType()), T.StructField("n_cols", T.IntegerType())]
+    + [T.StructField(n, T.StringType()) for n in ("label", "text", "markdown", "table_csv", "table_html")]
+    + [T.StructField("images", T.ArrayType(T.StringType()))]
+    + [T.StructField(n, T.IntegerType()) for n in ("n_rows", "n_cols", "header_rows")]
+    + [T.StructField("has_spans", T.BooleanType())]
 )
 
 
@@ -260,7 +302,7 @@ class Blocks:
         head = " ".join(x for x in (f"**{label}**" if label else "", caption) if x)
         self.add(
             "table", wanted, squeeze(" ".join([caption, *(c["text"] for r in rows for c in r)])),
-            "\n\n".join(x for x in (head, table_markdown(rows)) if x), label=label, table_csv=table_csv(rows),
+            "\n\n".join(x for x in (head, table_markdown(rows)) if x), label=label, table_csv=table_csv(rows), table_html=table_html(rows), header_rows=header_rows(rows), has_spans=has_spans(rows),
             n_rows=len(rows), n_cols=max((len(r) for r in rows), default=0),
         )
 
@@ -299,9 +341,8 @@ def _equations(table: Element, out: Blocks) -> None:
             out.add("math", g.attrs.get("id") or table.attrs.get("id"), tex, f"$$\n{tagged}\n$$", label=number)
 
 
-def html_blocks(text: str | None, base_url: str = "") -> list[dict]:
-    """Blocks of a page, in order: heading, paragraph, list, code, math, table, figure, footnote, bibliography."""
-    root = parse_tree(text or "")
+def main_part(root: Element) -> Element | None:
+    """The part of a page that holds the paper."""
     main = None
     for test in (
         lambda e: e.tag == "article" and "ltx_document" in e.classes, lambda e: e.tag == "article", lambda e: e.tag == "main",
@@ -310,7 +351,56 @@ def html_blocks(text: str | None, base_url: str = "") -> list[dict]:
         main = next((e for e in root.walk() if test(e)), None)
         if main is not None:
             break
+    return main
+
+
+def page_title(root: Element) -> str | None:
+    """The document's own title heading, else the page's title without a bracketed beginning."""
+    own = next((e for e in root.walk() if e.tag == "h1" and "ltx_title_document" in e.classes), None)
+    if own is not None:
+        return squeeze(inline_text(own)) or None
+    page = root.first("title")
+    return (re.sub(r"^\[[^\]]*\]\s*", "", squeeze(page.text())) or None) if page else None
+
+
+def source_counts(main: Element) -> dict[str, int]:
+    """What a page holds of each counted kind."""
+    found = dict.fromkeys(TRACKED, 0)
+
+    def look(node: Element, in_figure: bool) -> None:
+        for c in node.children:
+            if isinstance(c, Element):
+                found["math"] += c.tag == "math" and not in_figure
+                found["figures"] += c.tag == "figure" and "ltx_table" not in c.classes
+                found["tables"] += c.tag == "table" and "ltx_tabular" in c.classes
+                found["bibitems"] += c.tag == "li" and "ltx_bibitem" in c.classes
+                found["notes"] += c.tag == "span" and "ltx_role_footnote" in c.classes
+                look(c, in_figure or c.tag == "figure")
+
+    look(main, False)
+    return found
+
+
+def mapped_counts(main: Element, rows: list[dict]) -> dict[str, int]:
+    """What came out of a page; call it right after its blocks were made."""
+    kinds = [r["kind"] for r in rows]
+    in_figures = {id(m) for f in main.walk() if f.tag == "figure" for m in f.walk() if m.tag == "math"}
+    math = {id(m) for m in main.walk() if m.tag == "math"} - in_figures
+    named = {"figures": "figure", "tables": "table", "bibitems": "bibliography", "notes": "footnote"}
+    return {"math": len(math & _MET)} | {k: kinds.count(v) for k, v in named.items()}
+
+
+def html_blocks(text: str | None, base_url: str = "") -> list[dict]:
+    """Blocks of a page, in order: heading, paragraph, list, code, math, table, figure, footnote, bibliography."""
+    root = parse_tree(text or "")
+    return blocks_of(main_part(root), base_url)
+
+
+def blocks_of(main: Element | None, base_url: str = "") -> list[dict]:
     out = Blocks()
+    _MET.clear()
+    if main is not None:
+        number_notes(main)
 
     def visit(node: Element) -> None:
         name, classes = node.attrs.get("id"), node.classes
@@ -360,7 +450,8 @@ def html_blocks(text: str | None, base_url: str = "") -> list[dict]:
                 out.add("paragraph", name, plain, squeeze(inline_text(node, markdown=True)))
             for note in (e for e in node.walk() if "ltx_note" in e.classes):
                 body = next((e for e in note.walk() if "ltx_note_content" in e.classes), note)
-                out.add("footnote", note.attrs.get("id"), squeeze(inline_text(body, skip=("ltx_note_mark",))), "")
+                said = squeeze(inline_text(body, skip=("ltx_note_mark",)))
+                out.add("footnote", note.attrs.get("id"), said, f"[^{note_mark(note)}]: {said}", label=note_mark(note))
         else:
             loose: list = []
 
@@ -481,14 +572,43 @@ def extract(captures: DataFrame, key: str, content: str, source_kind: str = "htm
                 made = html_blocks(c, b or "") if source_kind == "html" else layout_blocks(c)
                 rows += [{key: k} | r for r in made]
             frame = pd.DataFrame(rows, columns=schema.names)
-            for c in ("level", "n_rows", "n_cols"):
+            for c in ("level", "n_rows", "n_cols", "header_rows"):
                 frame[c] = pd.array(frame[c], dtype="Int32")
+            frame["has_spans"] = pd.array(frame["has_spans"], dtype="boolean")
             yield frame
 
     base = F.col(base_url) if base_url else F.lit("")
     return captures.select(F.col(key).alias("k"), F.col(content).alias("c"), base.alias("b")).mapInPandas(run, schema)
 
 
+COVERAGE = "source_counts map<string,int>, mapped_counts map<string,int>, unmapped array<struct<kind:string,missing:int>>"
+
+
+def page_reports(captures: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, title, n_blocks, content_chars, ir_available, source_counts, mapped_counts, unmapped) of each HTML capture.
+
+    What is counted in the page and missing among the blocks stands in ``unmapped``. A null or empty capture has no
+    blocks and ``ir_available`` false.
+    """
+    schema = f"title string, n_blocks long, content_chars long, ir_available boolean, {COVERAGE}"
+    schema = T.StructType([captures.schema[key], *T._parse_datatype_string(schema).fields])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, text in zip(batch["k"], batch["c"]):
+                root = parse_tree(text or "")
+                main = main_part(root)
+                made = blocks_of(main)
+                source = source_counts(main) if main is not None else dict.fromkeys(TRACKED, 0)
+                mapped = mapped_counts(main, made) if main is not None else dict.fromkeys(TRACKED, 0)
+                missing = [{"kind": t, "missing": source[t] - mapped[t]} for t in TRACKED if source[t] > mapped[t]]
+                rows.append((k, page_title(root), len(made), sum(len(r["text"] or "") for r in made), main is not None, source, mapped, missing))
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return captures.select(F.col(key).alias("k"), F.col(content).alias("c")).mapInPandas(run, schema)
+
+
 def render(blocks: DataFrame, key: str, column: str = "markdown") -> DataFrame:
     """(key, document): the blocks of each capture in order, parted by blank lines."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.col(column).alias("m")))), lambda b: b["m"])

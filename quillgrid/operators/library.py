@@ -51,6 +51,32 @@ def papers_with_authors(papers: DataFrame, authors: DataFrame) -> DataFrame:
     return joined.withColumn("authors", F.coalesce("authors", F.array().cast("array<string>")))
 
 
+def list_with_authors(papers: DataFrame, query: str, limit: int | None = 50, offset: int = 0) -> DataFrame:
+    """Papers (with ``authors``) whose title, abstract or authors hold the query as it stands, case not minded, newest first."""
+    low = query.lower()
+    held = lambda c: F.coalesce(F.lower(c).contains(low), F.lit(False))
+    rows = papers.where(held(F.col("title")) | held(F.col("abstract")) | held(F.array_join("authors", ", ")))
+    rows = rows.orderBy(F.desc("updated_at"), "key").offset(max(offset, 0))
+    return rows.limit(limit) if limit and limit > 0 else rows
+
+
+def count_by_category(papers: DataFrame, categories: str) -> DataFrame:
+    """(value, n) of an array column, each value of a row once more than it stands there; most frequent first."""
+    return papers.select(F.explode(categories).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value")
+
+
+def requested_keys(papers: DataFrame, keys: DataFrame | None = None, by_url: DataFrame | None = None, everything: bool = False) -> DataFrame:
+    """(key): the keys asked for by name or URL, or all, each once, as far as the library has them."""
+    held = papers.select("key").distinct()
+    if everything:
+        return held
+    asked = [df.select("key") for df in (keys, by_url) if df is not None]
+    union = asked[0] if asked else held.where(F.lit(False))
+    for more in asked[1:]:
+        union = union.unionByName(more)
+    return held.join(union.distinct(), "key", "left_semi")
+
+
 def find_float(floats: DataFrame, paper_key: str, wanted: str, positioned: DataFrame) -> DataFrame:
     """A figure or table by id or label (colon and case are not minded), else by its place in natural order."""
     key = wanted.strip().rstrip(":").strip().lower()
@@ -81,6 +107,47 @@ def neighbour_frequency(edges: DataFrame, seed: str, neighbour: str, min_seeds:
     )
 
 
+def neighbour_filter(rows: DataFrame, open_access: bool = False, min_citations: int = 0) -> DataFrame:
+    """Neighbours that are open access, and cited often enough; a missing count is 0."""
+    if open_access:
+        rows = rows.where(F.coalesce("is_open_access", F.lit(False)))
+    return rows.where(F.coalesce("citation_count", F.lit(0)) >= min_citations) if min_citations else rows
+
+
+def ranked_neighbours(edges: DataFrame, seed: str, neighbour: str, citations: str, order: str, min_seeds: int = 1) -> DataFrame:
+    """(neighbour, n_seeds, citation_count, resolvable, rank): most seeds first, then most cited, then first seen.
+
+    ``edges`` also has arxiv_id and doi; a neighbour with either can be resolved. Attributes are those of the first edge in
+    ``order``. Counting is combined on the map side; the rank is a window over the distinct neighbours that are left.
+    """
+    known = edges.where(F.col(neighbour).isNotNull() & (F.col(neighbour) != ""))
+    counted = known.groupBy(neighbour).agg(
+        F.countDistinct(seed).alias("n_seeds"),
+        F.min(F.struct(F.col(order).alias("o"), F.coalesce(F.col(citations), F.lit(0)).alias("c"), (F.coalesce("arxiv_id", "doi", F.lit("")) != "").alias("r"))).alias("f"),
+    )
+    kept = counted.where(F.col("n_seeds") >= min_seeds)
+    by = [F.desc("n_seeds"), F.desc("f.c"), F.asc("f.o"), F.asc(neighbour)]
+    return kept.orderBy(*by).select(neighbour, "n_seeds", F.col("f.c").alias("citation_count"), F.col("f.r").alias("resolvable"))
+
+
+def jobs(records: DataFrame, limit: int = 20) -> DataFrame:
+    """The newest jobs with ``line``, what is to be said of each; ``runner_alive`` false marks a job whose runner is gone."""
+    over = F.col("state").isin("done", "failed", "cancelled")
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    progress = F.concat(F.lit("("), count("done"), F.lit("/"), count("total"), F.lit(")"))
+    head = F.concat(F.lit("job "), F.col("id"), F.lit(": "))
+    dead = ~over & ~F.coalesce("runner_alive", F.lit(True))
+    alive = F.concat_ws(
+        ", ",
+        F.concat(head, F.col("state"), F.lit(" "), progress),
+        F.when(F.col("succeeded") > 0, F.concat(count("succeeded"), F.lit(" ok"))),
+        F.when(F.col("failed") > 0, F.concat(count("failed"), F.lit(" failed"))),
+        F.when(~over & (F.col("current") != ""), F.concat(F.lit("now: "), F.col("current"))),
+    )
+    line = F.when(dead, F.concat(head, F.lit("runner exited without finishing "), progress)).otherwise(alive)
+    return records.withColumn("line", line).orderBy(F.desc("started_at"), "id").limit(limit)
+
+
 def fresh(neighbours: DataFrame, held: DataFrame, on: str) -> DataFrame:
     """Neighbours that the library doesn't hold; those without the key stay."""
     return neighbours.join(held.select(on).where(F.col(on).isNotNull()).distinct(), on, "left_anti")
@@ -164,7 +231,8 @@ def regression(current: DataFrame, baseline: DataFrame, key: str, fields: Sequen
     )
 
 
-TRACKED = ["bibliography", "equations", "figures", "footnotes", "tables"]
+# The counters of an extraction's coverage map.
+TRACKED = ["math", "figures", "tables", "bibitems", "notes"]
 
 
 def coverage_report(docs: DataFrame, min_ratio: float = 0.95, empty_chars: int = 1_000) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillgrid.functions.urls import trimmed
+
 READ_WINDOW = 8_000
 
 
@@ -46,9 +48,10 @@ def section_rollup(blocks: DataFrame) -> DataFrame:
 
 
 def markdown_sections(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, section_no, section_id, level, title, body): every line that begins with ``#`` opens a section.
+    """(doc, section_no, section_id, level, title, body, block_ordinal): every line that begins with ``#`` opens a section.
 
-    The text before the first heading is section 0, without id. Bodies are the lines between, trimmed.
+    The text before the first heading is section 0, without id. Bodies are the lines between, without white space around them;
+    ``block_ordinal`` is the place of the body among the pieces that headings part, empty ones counted.
     """
     lines = docs.select(doc, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     w = Window.partitionBy(doc).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -58,14 +61,15 @@ def markdown_sections(docs: DataFrame, doc: str, text: str) -> DataFrame:
     head = F.max(F.when(is_heading, F.col("line")))
     return (
         numbered.groupBy(doc, "section_no")
-        .agg(head.alias("head"), F.trim(F.array_join(F.transform(body, lambda x: x["line"]), "\n")).alias("body"))
+        .agg(head.alias("head"), trimmed(F.array_join(F.transform(body, lambda x: x["line"]), "\n")).alias("body"))
         .select(
             doc,
             "section_no",
             F.when(F.col("section_no") > 0, F.concat(F.lit("md-sec-"), "section_no")).alias("section_id"),
             F.length(F.regexp_extract("head", "^(#+)", 1)).alias("level"),
-            F.trim(F.regexp_replace("head", "^#+", "")).alias("title"),
+            trimmed(F.regexp_replace("head", "^#+", "")).alias("title"),
             "body",
+            F.col("section_no").alias("block_ordinal"),
         )
     )
 

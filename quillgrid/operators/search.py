@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,6 +112,22 @@ def _all_phrases(node) -> list[Phrase]:
     return [node] if isinstance(node, Phrase) else _all_phrases(node.left) + _all_phrases(node.right)
 
 
+def _scored(hits: DataFrame, node, index: dict[Phrase, int], totals: dict, key: list[str], only) -> DataFrame:
+    """(key…, score) of the rows that match, by frequencies per phrase and the statistics of the whole table."""
+    kept = hits.where(_matches(node, index))
+    if only is not None:
+        kept = kept.where(only)
+    score = F.lit(0.0)
+    for p in phrases(node):
+        i = index[p]
+        n, f = totals[f"n{i}"] or 0, F.col(f"f{i}")
+        idf = math.log((totals["n_docs"] - n + 0.5) / (n + 0.5))
+        idf = FLOOR if idf <= 0 else idf
+        length = F.col("n_tokens") / F.lit(totals["avg_tokens"] or 1.0)
+        score = score + F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * length))
+    return kept.select(*key, (-score).alias("score"))
+
+
 def search(docs: DataFrame, query: str, key: list[str], text: str, only=None) -> DataFrame:
     """(key…, score), lower is better: BM25 over the phrases asked for; no rows for a blank query.
 
@@ -128,18 +144,53 @@ def search(docs: DataFrame, query: str, key: list[str], text: str, only=None) ->
         F.avg("n_tokens").alias("avg_tokens"),
         *[F.sum((F.col(f"f{i}") > 0).cast("int")).alias(f"n{i}") for i in index.values()],
     ).first()
-    kept = hits.where(_matches(node, index))
-    if only is not None:
-        kept = kept.where(only)
-    score = F.lit(0.0)
-    for p in phrases(node):
-        i = index[p]
-        n, f = totals[f"n{i}"] or 0, F.col(f"f{i}")
-        idf = math.log((totals["n_docs"] - n + 0.5) / (n + 0.5))
-        idf = FLOOR if idf <= 0 else idf
-        length = F.col("n_tokens") / F.lit(totals["avg_tokens"] or 1.0)
-        score = score + F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * length))
-    return kept.select(*key, (-score).alias("score"))
+    return _scored(hits, node, index, totals.asDict(), key, only)
+
+
+BUCKETS = 256
+
+
+def write_index(docs: DataFrame, key: list[str], text: str, folder: str, buckets: int = BUCKETS) -> None:
+    """Build the inverted index below ``folder``: ``postings`` (bucket, token, n_tokens, key…, positions) and ``stats``.
+
+    Postings are partitioned by a hash of the token and sorted by token, so a query reads only the files, and in them
+    the row groups, of the tokens that it asks for. A token with a third of all postings fills many files of its bucket, as
+    the shuffle is on (bucket, document).
+    """
+    rows = postings(docs, key, text).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+    spread = F.pmod(F.xxhash64(*key), F.lit(8))
+    rows.repartition("bucket", spread).sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    counted = docs.select(F.size(search_tokens(F.col(text))).alias("n")).where("n > 0")
+    counted.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_tokens"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{folder}/stats")
+
+
+def search_index(spark: SparkSession, folder: str, query: str, key: list[str], only=None) -> DataFrame:
+    """As :func:`search`, from an index: (key…, score). Documents aren't read; phrases are found by their tokens' positions."""
+    node = parse_query(query)
+    stats = spark.read.parquet(f"{folder}/stats").first()
+    index = spark.read.parquet(f"{folder}/postings")
+    if node is None:
+        return index.select(*key, F.lit(0.0).alias("score")).where(F.lit(False))
+    asked = {p: i for i, p in enumerate(dict.fromkeys(_all_phrases(node)))}
+    tokens = sorted({w for p in asked for w in p.words})
+    own = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", F.pmod(F.xxhash64("t"), F.lit(stats.buckets)).alias("b")).collect()
+    rows = index.where(F.col("bucket").isin([r.b for r in own]) & F.col("token").isin(tokens))
+    place = {t: f"p{i}" for i, t in enumerate(tokens)}
+    none = F.array().cast("array<int>")
+    per = rows.groupBy(*key).agg(
+        F.first("n_tokens").alias("n_tokens"), *[F.coalesce(F.first(F.when(F.col("token") == t, F.col("positions")), ignorenulls=True), none).alias(c) for t, c in place.items()]
+    )
+
+    def frequency(p: Phrase):
+        at = F.col(place[p.words[0]])
+        for k, w in enumerate(p.words[1:], 1):
+            at = F.array_intersect(at, F.transform(place[w], lambda x, k=k: x - k))
+        return F.size(at)
+
+    hits = per.select(*key, "n_tokens", *[frequency(p).alias(f"f{i}") for p, i in asked.items()])
+    found = hits.agg(*[F.sum((F.col(f"f{i}") > 0).cast("int")).alias(f"n{i}") for i in asked.values()]).first()
+    totals = {"n_docs": stats.n_docs, "avg_tokens": stats.avg_tokens} | found.asDict()
+    return _scored(hits, node, asked, totals, key, only)
 
 
 def snippet(text: str, words: list[tuple[str, ...]], size: int = 12) -> str:

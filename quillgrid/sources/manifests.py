@@ -134,30 +134,55 @@ def collect_inputs(spark: SparkSession, manifests: list[str] = (), specs: list[s
     return keyed.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-# Hosts whose links are code, data or talks rather than papers, and the preference among the others.
-OTHER_HOSTS = ["colab.research.google.com", "github.com", "gitlab.com", "huggingface.co", "kaggle.com", "youtu.be", "youtube.com"]
-PREFERRED = ["arxiv.org", "openreview.net", "aclanthology.org", "proceedings.mlr.press", "doi.org"]
+# Labels and hosts of links that are never the paper, and hosts of papers, the best first.
+OTHER_LABELS = ["code", "data", "dataset", "demo", "homepage", "page", "project", "video", "website"]
+OTHER_HOSTS = ["github.com", "gitlab.com", "huggingface.co", "youtu.be", "youtube.com"]
+PREFERRED = [
+    "arxiv.org", "openreview.net", "aclanthology.org", "proceedings.mlr.press", "openaccess.thecvf.com", "ncbi.nlm.nih.gov", "doi.org",
+    "biorxiv.org", "medrxiv.org",
+]
 
 
 def read_markdown_list(spark: SparkSession, path: str, sections: list[str] = ()) -> DataFrame:
-    """Bullets of a Markdown list with links: (section, title, url, slug, reason), ``reason`` set where passed over.
+    """Bullets of Markdown lists with ``[[label]](url)`` links: (file, section, title, url, slug, reason, ord).
 
-    The section of a bullet is the last heading before it. Of several links the most preferred host counts.
+    The section of a bullet is the last heading before it; ``sections`` are compared without case. Links by label or host that are never the paper are passed
+    over; of the others the most preferred host counts, then the first. ``reason`` says why a bullet has no url. Slugs
+    are unique within a file. Each file is a document of its own; a window runs over its headings' lines, not over all files.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("ord", "line"))
-    w = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    heading = F.regexp_extract("line", r"^#{1,6}\s+(.*?)\s*#*$", 1)
-    rows = lines.withColumn("section", F.last(F.nullif(heading, F.lit("")), ignorenulls=True).over(w)).where(F.col("line").rlike(r"^\s*[-*+]\s+"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("ord", "line"))
+    w = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    heading = F.when(F.col("line").rlike(r"^#{1,6}\s"), trimmed(F.regexp_replace("line", "^#+", "")))
+    rows = files.withColumn("section", F.last(heading, ignorenulls=True).over(w)).where(F.col("line").rlike(r"^\s*[-*+]\s"))
     if sections:
-        rows = rows.where(F.col("section").isin(list(sections)))
-    links = rows.withColumn("links", F.regexp_extract_all("line", F.lit(r"\[+[^\]]+\]+\((https?://[^)\s]+)\)"), 1))
-    rank = lambda u: F.coalesce(F.array_position(F.array(*map(F.lit, PREFERRED)), F.regexp_replace(host_of(u), r"^www\.", "")).cast("int"), F.lit(0))
-    usable = F.filter("links", lambda u: ~F.regexp_replace(host_of(u), r"^www\.", "").isin(OTHER_HOSTS))
-    ordered = F.array_sort(F.transform(usable, lambda u: F.struct(F.when(rank(u) == 0, 99).otherwise(rank(u)).alias("r"), u.alias("u"))))
-    url = F.get(ordered, 0)["u"]
-    title = trimmed(F.regexp_replace(F.regexp_replace(F.regexp_extract("line", r"^\s*[-*+]\s+(.*?)(?:\s*[-–—:]?\s*\[+[^\]]+\]+\(|$)", 1), r"[*_`\[\]]", ""), r"[\s.:–—-]+$", ""))
-    title = F.coalesce(none_if_empty(title), F.regexp_extract("line", r"\[+([^\]]+)\]", 1))
-    return links.select(
-        "section", title.alias("title"), url.alias("url"), slug(title, 60).alias("slug"),
-        F.when(F.size("links") == 0, "no link").when(url.isNull(), "no paper link").alias("reason"), "ord",
+        rows = rows.where(F.lower("section").isin([x.strip().lower() for x in sections]))
+    link = r"\[\[([^\]]+)\]\]\((https?://[^)]+)\)"
+    host = lambda u: F.regexp_replace(host_of(u), r"^www[.]", "")
+    ends = lambda u, names: F.filter(F.array(*map(F.lit, names)), lambda n: host(u).endswith(n))
+    pairs = F.arrays_zip(F.regexp_extract_all("line", F.lit(link), 1).alias("label"), F.regexp_extract_all("line", F.lit(link), 2).alias("url"))
+    usable = F.filter(pairs, lambda p: ~F.lower(trimmed(p["label"])).isin(OTHER_LABELS) & (F.size(ends(p["url"], OTHER_HOSTS)) == 0))
+    rank = lambda u: F.coalesce(F.array_min(F.transform(ends(u, PREFERRED), lambda n: F.array_position(F.array(*map(F.lit, PREFERRED)), n))), F.lit(len(PREFERRED) + 1))
+    ranked = F.array_sort(F.transform(usable, lambda p, i: F.struct(rank(p["url"]).cast("int").alias("rank"), i.alias("i"), p["url"].alias("url"))))
+    title = F.regexp_replace(F.regexp_replace(F.regexp_replace("line", r"^\s*[-*+]\s+", ""), link, ""), r"^[ .;:–—-]+|[ .;:–—-]+$", "")
+    found = (
+        rows.select("file", "ord", "section", pairs.alias("pairs"), ranked.alias("ranked"), title.alias("title"))
+        .where(F.col("title") != "")
+        .withColumn("best", F.get("ranked", 0))
     )
+    known = F.col("best.rank") <= len(PREFERRED)
+    chosen = found.select(
+        "file", "section", "title", F.when(known, F.col("best.url")).alias("url"),
+        F.when(F.size("pairs") == 0, "no link").when(F.col("best").isNull(), "only code/data links").when(~known, F.concat(F.lit("no retrievable source ("), host(F.col("best.url")), F.lit(")"))).alias("reason"),
+        "ord",
+    )
+    base = F.coalesce(none_if_empty(F.substring(F.array_join(F.filter(F.split(F.lower("title"), "[^a-z0-9]+"), lambda x: x != ""), "-"), 1, 60)), F.lit("paper"))
+    return with_unique(chosen.withColumn("base", F.when(F.col("url").isNotNull(), base)), "base", "slug", ["file"], ["ord"]).drop("base")
+
+
+def with_unique(rows: DataFrame, base: str, name: str, within: list[str], order: list[str]) -> DataFrame:
+    """``name``: the base for its first row, then with ``-2``, ``-3``, …, unless that is a base of its own, which is told apart by one more number."""
+    w = Window.partitionBy(*within, base).orderBy(*order)
+    numbered = rows.withColumn("__n", F.row_number().over(w))
+    numbered = numbered.withColumn("__k", F.when(F.col("__n") == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), F.col("__n"))))
+    again = Window.partitionBy(*within, "__k").orderBy("__n", *order)
+    return numbered.withColumn("__m", F.row_number().over(again)).withColumn(name, F.when(F.col("__m") == 1, F.col("__k")).otherwise(F.concat("__k", F.lit("-"), F.col("__m")))).drop("__n", "__k", "__m")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -59,11 +60,33 @@ def crossref_record(json: Column) -> Column:
 
 def openalex_record(json: Column) -> Column:
     path = lambda p: F.get_json_object(json, p)
+    places = F.from_json(path("$.locations"), "array<struct<pdf_url:string>>")
+    more = F.coalesce(F.transform(places, lambda x: x["pdf_url"]), F.array().cast("array<string>"))
     return F.struct(
         path("$.title").alias("title"),
         path("$.publication_year").try_cast("int").alias("year"),
         normal_doi(path("$.doi")).alias("doi"),
         F.coalesce(path("$.best_oa_location.pdf_url"), path("$.open_access.oa_url")).alias("pdf_url"),
+        F.array_distinct(F.array_compact(F.concat(F.array(path("$.best_oa_location.pdf_url"), path("$.open_access.oa_url")), more))).alias("pdf_urls"),
+        path("$.primary_location.source.display_name").alias("venue"),
+        path("$.best_oa_location.license").alias("license"),
+    )
+
+
+def unpaywall_pdf(json: Column) -> Column:
+    return F.coalesce(F.get_json_object(json, "$.best_oa_location.url_for_pdf"), F.get_json_object(json, "$.best_oa_location.url"))
+
+
+def graph_record(json: Column) -> Column:
+    """A citation graph's answer about one DOI: the open PDF, and the arXiv id if there is a preprint."""
+    path = lambda p: none_if_empty(F.get_json_object(json, p))
+    return F.struct(
+        path("$.title").alias("title"),
+        path("$.year").try_cast("int").alias("year"),
+        path("$.venue").alias("venue"),
+        path("$.abstract").alias("abstract"),
+        F.coalesce(path("$.externalIds.ArXiv"), path("$.externalIds.arXiv")).alias("arxiv_id"),
+        path("$.openAccessPdf.url").alias("pdf_url"),
     )
 
 
@@ -121,11 +144,24 @@ class _Landing(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.meta: dict[str, list[str]] = {}
         self.pdf_link = self.pdf_anchor = None
+        self.scripts: list[str] = []
+        self.in_data = False
+
+    def handle_data(self, data: str) -> None:
+        if self.in_data:
+            self.scripts[-1] += data
+
+    def handle_endtag(self, tag: str) -> None:
+        self.in_data = self.in_data and tag != "script"
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: v or "" for k, v in attrs}
         if tag == "meta" and a.get("content"):
             self.meta.setdefault((a.get("name") or a.get("property") or "").lower(), []).append(a["content"].strip())
+        elif tag == "script":
+            self.in_data = a.get("type", "").lower() == "application/ld+json"
+            if self.in_data:
+                self.scripts.append("")
         elif tag == "link" and a.get("type", "").lower() == "application/pdf" and a.get("href"):
             self.pdf_link = self.pdf_link or a["href"]
         elif tag == "a" and a.get("href", "").split("?")[0].lower().endswith(".pdf"):
@@ -138,20 +174,47 @@ LANDING = T.StructType(
 )
 
 
+def _linked_data(scripts: list[str]) -> dict:
+    """Title, authors, date, venue, abstract and PDF of the first JSON-LD object of a page that describes an article."""
+    for text in scripts:
+        try:
+            found = json.loads(text)
+        except ValueError:
+            continue
+        items = found if isinstance(found, list) else found.get("@graph", [found]) if isinstance(found, dict) else []
+        for x in items if isinstance(items, list) else []:
+            kinds = x.get("@type") if isinstance(x, dict) else None
+            if not any(str(k).endswith("Article") for k in (kinds if isinstance(kinds, list) else [kinds])):
+                continue
+            name = lambda v: v.get("name") if isinstance(v, dict) else v if isinstance(v, str) else None
+            people = x.get("author") or []
+            coded = x.get("encoding") or {}
+            return {
+                "title": name(x.get("headline")) or name(x.get("name")),
+                "authors": [n for n in map(name, people if isinstance(people, list) else [people]) if n],
+                "date": str(x.get("datePublished") or ""),
+                "venue": name(x.get("isPartOf")),
+                "abstract": name(x.get("description")),
+                "pdf": coded.get("contentUrl") if isinstance(coded, dict) else None,
+            }
+    return {}
+
+
 def read_landing(html: str | None, base_url: str | None) -> tuple:
     """(title, doi, venue, abstract, pdf_url, authors, year) of a landing page's citation metadata."""
     page = _Landing()
     page.feed(html or "")
     one = lambda *names: next((page.meta[n][0] for n in names if page.meta.get(n)), None)
-    pdf = one("citation_pdf_url") or page.pdf_link or page.pdf_anchor
-    year = "".join(filter(str.isdigit, (one("citation_publication_date", "citation_date", "citation_year") or "")[:4]))
+    data = _linked_data(page.scripts)
+    pdf = one("citation_pdf_url") or page.pdf_link or page.pdf_anchor or data.get("pdf")
+    year = "".join(filter(str.isdigit, (one("citation_publication_date", "citation_date", "citation_year") or data.get("date") or "")[:4]))
     return (
-        one("citation_title", "og:title"),
+        one("citation_title", "og:title") or data.get("title"),
         one("citation_doi"),
-        one("citation_journal_title", "citation_conference_title"),
-        one("citation_abstract", "og:description", "description"),
+        one("citation_journal_title", "citation_conference_title") or data.get("venue"),
+        one("citation_abstract", "og:description", "description") or data.get("abstract"),
         urljoin(base_url or "", pdf) if pdf else None,
-        page.meta.get("citation_author", []),
+        page.meta.get("citation_author") or data.get("authors") or [],
         int(year) if len(year) == 4 else None,
     )
 
