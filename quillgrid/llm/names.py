@@ -150,7 +150,7 @@ def parse_name(name: str | None) -> tuple[str, bool, list[str], list[bool]]:
         if not plain or plain in TITLES and (dotted or not parts) or plain in DEGREES and parts:
             continue
         parts.append(plain)
-        short.append(dotted or len(plain) <= 2)
+        short.append(dotted or len(plain) == 1)
     if not parts:
         return ("none", False, [], [])
     return ("person", comma, parts, short)

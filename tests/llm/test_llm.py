@@ -365,7 +365,8 @@ def test_spam_at_far_lags_and_lists_without_recurrence():
     assert spam.stretches_without(held).tolist() == [2, 2, 0, 1]
     codes = np.random.default_rng(1).integers(0, 6, 100)
     want = [spam.autocorrelation(codes[min(s, 70) : min(s, 70) + 30], 15).max() for s in range(0, 100, 30)]
-    assert spam.best_agreements(codes, 30, 15) == pytest.approx(want)
+    begin = spam._begins(len(codes), 30)
+    assert spam.best_agreements(codes, begin, np.full(len(begin), 30), 15) == pytest.approx(want)
 
 
 def test_pieces_go_on_over_the_spans_of_a_section(spark):
