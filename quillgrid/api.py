@@ -11,6 +11,7 @@ from quillgrid.functions.text import escape_html, natural_key
 from quillgrid.functions.urls import paper_identity
 from quillgrid.operators import bundles, library, search
 from quillgrid.operators import outline as reading
+from quillgrid.session import cut_lineage
 from quillgrid.sources.storage import Store
 from quillgrid.sources.tables import current_papers, table
 
@@ -186,7 +187,10 @@ class Library:
         with self.store.lock():
             if self.store.exists("papers.parquet"):
                 old = self.table("papers")
-                stale = old.select("key").distinct().join(there, "key", "left_anti") if keys is None else there.where(F.lit(False))
+                types = dict(new.dtypes)
+                old = old.withColumns({c: F.lit(None).cast(types[c]) for c in new.columns if c not in old.columns})
+                gone = old.select("key").distinct().join(there, "key", "left_anti") if keys is None else there.where(F.lit(False))
+                stale = cut_lineage(gone)  # what it is made from is replaced below
                 merged = library.upsert(current_papers(old).select(*new.columns), new, "key", ("created_at",), F.col("updated_at"))
                 pruned = stale.count()
                 self.store.replace("papers.parquet", merged.join(stale, "key", "left_anti"))

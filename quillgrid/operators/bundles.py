@@ -68,6 +68,7 @@ def papers_of(meta: DataFrame, now: Column) -> DataFrame:
         F.col("key").alias("bundle_path"),
         F.coalesce(m("created_at"), m("updated_at"), now).alias("created_at"),
         F.coalesce(m("updated_at"), now).alias("updated_at"),
+        *[m(c).alias(c) for c in ("categories", "primary_category", "bibtex")],
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import partial
 from dataclasses import dataclass
 
 import pandas as pd
@@ -150,6 +151,10 @@ def search(docs: DataFrame, query: str, key: list[str], text: str, only=None) ->
 BUCKETS = 256
 
 
+def _back(by: int, place):
+    return place - by
+
+
 def write_index(docs: DataFrame, key: list[str], text: str, folder: str, buckets: int = BUCKETS) -> None:
     """Build the inverted index below ``folder``: ``postings`` (bucket, token, n_tokens, key…, positions) and ``stats``.
 
@@ -184,7 +189,7 @@ def search_index(spark: SparkSession, folder: str, query: str, key: list[str], o
     def frequency(p: Phrase):
         at = F.col(place[p.words[0]])
         for k, w in enumerate(p.words[1:], 1):
-            at = F.array_intersect(at, F.transform(place[w], lambda x, k=k: x - k))
+            at = F.array_intersect(at, F.transform(place[w], partial(_back, k)))
         return F.size(at)
 
     hits = per.select(*key, "n_tokens", *[frequency(p).alias(f"f{i}") for p, i in asked.items()])

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.plans import library_quality, library_queries
+from quillgrid.plans import case_queries, library_quality, library_queries
 
-MODULES = (library_queries, library_quality)
+MODULES = (library_queries, library_quality, case_queries)
 
 
 def all_queries() -> dict:

@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgrid.functions import bibtex, text, urls
-from quillgrid.operators import library, outline, search
+from quillgrid.operators import bundles, library, outline, resolving, search
+from quillgrid.session import checkpoint_folder
 from quillgrid.sources.tables import current_papers, table
+from quillgrid.streaming import events
 
 
 def url_identity(spark: SparkSession, folder: str) -> DataFrame:
-    identity = urls.paper_identity(F.col("url"))
-    return (
-        table(spark, folder, "documents").where("url IS NOT NULL").select("doc_id", identity.alias("i"))
-        .select("doc_id", "i.kind", "i.fingerprint", "i.key")
-    )
+    rows = table(spark, folder, "documents").where("url IS NOT NULL").select("doc_id", "url")
+    return urls.with_identity(rows, "url", "i").select("doc_id", "i.kind", "i.fingerprint", "i.key")
 
 
 def source_identity(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "papers").where("source_url IS NOT NULL").select("source_url").distinct()
-    return rows.select("source_url", urls.paper_identity(F.col("source_url")).alias("i")).select("source_url", "i.kind", "i.key")
+    return urls.with_identity(rows, "source_url", "i").select("source_url", "i.kind", "i.key")
 
 
 def url_dedupe(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,8 +79,12 @@ def kind_histogram(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of the default size from the beginning, from the end of that, and from a place between."""
     docs = table(spark, folder, "documents")
-    return outline.read_window(docs, "text", 100, 200).select("doc_id", "window", F.col("total").cast("bigint").alias("total"), F.col("next_offset").cast("bigint").alias("next_offset"))
+    got = outline.read_window(docs, "text")
+    for at in (outline.READ_WINDOW, 100):
+        got = got.unionByName(outline.read_window(docs, "text", at))
+    return got.select("doc_id", "window", F.col("total").cast("bigint").alias("total"), F.col("next_offset").cast("bigint").alias("next_offset"))
 
 
 def markdown_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,7 +98,7 @@ def _block_docs(spark: SparkSession, folder: str) -> DataFrame:
 def fts_terms(spark: SparkSession, folder: str) -> DataFrame:
     tokens = table(spark, folder, "documents").select("doc_id", text.search_tokens(F.col("text")).alias("t"))
     return (
-        tokens.select("doc_id", F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df >= 20")
+        tokens.select("doc_id", F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     )
 
 
@@ -115,6 +120,64 @@ def fts_grep(spark: SparkSession, folder: str) -> DataFrame:
     return search.grep(_block_docs(spark, folder), "citation typing", ["id"], "text", 20)
 
 
+def fts_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The query of ``fts_bm25`` and a phrase, answered from an inverted index that is built below the checkpoint folder."""
+    at = f"{checkpoint_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    search.write_index(table(spark, folder, "documents"), ["doc_id"], "text", at)
+    scored = search.search_index(spark, at, "retrieval corpus", ["doc_id"]).select(F.lit("terms").alias("asked"), "doc_id", F.round("score", 6).alias("score"))
+    phrase = search.search_index(spark, at, '"zero-shot"', ["doc_id"]).select(F.lit("phrase").alias("asked"), "doc_id", F.lit(0.0).alias("score"))
+    return scored.unionByName(phrase)
+
+
+def find_papers(spark: SparkSession, folder: str) -> DataFrame:
+    papers = library.papers_with_authors(current_papers(table(spark, folder, "papers")), table(spark, folder, "authors"))
+    return library.list_with_authors(papers, "an", None).select("key")
+
+
+def neighbour_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    """Cited works by seeds; how often a work is cited at all stands for its citation count."""
+    refs = table(spark, folder, "refs").select("src_key", "bibkey", "arxiv_id", "doi", urls.none_if_empty(urls.normal_doi(F.col("doi"))).alias("cited")).distinct()
+    counts = refs.groupBy("cited").agg(F.count(F.lit(1)).alias("citation_count"))
+    edges = refs.join(counts, "cited").withColumn("ord", F.concat_ws("/", "src_key", "bibkey"))
+    return library.ranked_neighbours(edges, "src_key", "cited", "citation_count", "ord", 2)
+
+
+def arxiv_sources(spark: SparkSession, folder: str) -> DataFrame:
+    papers = current_papers(table(spark, folder, "papers")).where("arxiv_id IS NOT NULL")
+    return papers.select("key", F.explode(resolving.arxiv_candidates(F.col("arxiv_id"), F.lit(None).cast("string"))).alias("c")).select("key", "c.kind", "c.url", "c.priority")
+
+
+def paper_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Resolution of every paper's identity without any stored record: what the identity alone gives."""
+    papers = current_papers(table(spark, folder, "papers")).where("source_url IS NOT NULL").select("key", "source_url")
+    identities = urls.with_identity(papers, "source_url", "i").select("key", "i.kind", "i.value", "i.normalized_url", "i.version")
+    stored = spark.createDataFrame([], "key string, provider string, body string")
+    got = resolving.resolve(identities, stored)
+    return got.groupBy("resolver", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def outline_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    blocks = table(spark, folder, "blocks").where("ordinal IS NOT NULL").groupBy("paper_key", "ordinal").agg(F.max(F.struct("id", "kind", "text")).alias("b"))
+    rows = blocks.select("paper_key", "ordinal", "b.kind", "b.text", F.col("b.id").alias("block_id"), F.lit(1).alias("level"))
+    return bundles.outline_ranges(rows).select("paper_key", "block_id", "start", "end")
+
+
+def ir_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Coverage of stored captures by their own counters."""
+    docs = table(spark, folder, "ir_documents").where(F.try_parse_json("doc_json").isNotNull()).select("record_id", "doc_json").distinct()
+    counts = lambda k: F.from_json(F.get_json_object("doc_json", f"$.coverage.{k}"), "map<string,int>")
+    rows = docs.select(
+        "record_id", counts("source_counts").alias("source_counts"), counts("mapped_counts").alias("mapped_counts"), F.lit(1).alias("n_blocks"), F.lit(10_000).alias("content_chars"),
+        F.lit(True).alias("ir_available"), F.lit(None).cast("int").alias("images_total"), F.lit(None).cast("int").alias("images_downloaded"),
+    )
+    return library.coverage_report(rows).select("record_id", "ratio", "ok").distinct()
+
+
+def events_sliding(spark: SparkSession, folder: str) -> DataFrame:
+    got = events.windowed_counts(table(spark, folder, "events"), "2 hours", "1 hour")
+    return got.groupBy("start").agg(F.sum("n").alias("n"))
+
+
 def neighbour_rank(spark: SparkSession, folder: str) -> DataFrame:
     edges = table(spark, folder, "refs").select("src_key", urls.none_if_empty(urls.normal_doi(F.col("doi"))).alias("cited"))
     return library.neighbour_frequency(edges, "src_key", "cited", 2)
@@ -203,7 +266,8 @@ QUERIES = {
         paper_authors, outline_parents, section_rollup, heading_sections, kind_histogram, read_windows, markdown_text,
         fts_terms, fts_bm25, fts_boolean, fts_phrase, fts_grep, neighbour_rank, fresh_neighbours, candidate_priority,
         metadata_merge, upsert_papers, stale_bundles, prune_sizes, figure_positions, bibtex_keys, bibtex_entries,
-        events_daily, coverage_states, dropped_papers,
+        events_daily, coverage_states, dropped_papers, fts_indexed, find_papers, neighbour_ranked, arxiv_sources, paper_sources, outline_ranges,
+        ir_coverage, events_sliding,
     )
 }
 
@@ -256,8 +320,11 @@ ORACLE = {
       WITH b AS (SELECT paper_key, ordinal, max(struct_pack(id := id, kind := coalesce(kind, ''))) AS x FROM blocks WHERE ordinal IS NOT NULL GROUP BY 1, 2),
       s AS (SELECT paper_key, last_value(CASE WHEN x.kind = 'heading' THEN x.id END IGNORE NULLS) OVER (PARTITION BY paper_key ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS section FROM b)
       SELECT paper_key, section, count(*) AS n_blocks FROM s GROUP BY 1, 2""",
-    "read_windows": """SELECT doc_id, substring(text, 101, 200) AS "window", length(text)::BIGINT AS total, CASE WHEN length(text) > 300 THEN 300::BIGINT END AS next_offset FROM documents""",
-    "fts_terms": f"WITH {_TOKENS} SELECT token, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(t)) AS token FROM kept) GROUP BY 1 HAVING count(*) >= 20",
+    "read_windows": " UNION ALL ".join(
+        f"""SELECT doc_id, substring(text, {at + 1}, 8000) AS "window", length(text)::BIGINT AS total, CASE WHEN length(text) > {at + 8000} THEN {at + 8000}::BIGINT END AS next_offset FROM documents"""
+        for at in (0, 8000, 100)
+    ),
+    "fts_terms": f"WITH {_TOKENS} SELECT token, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(t)) AS token FROM kept) GROUP BY 1",
     "fts_bm25": f"""
       WITH {_TOKENS},
       f AS (SELECT doc_id, len(t) AS d, len(list_filter(t, lambda x: x = 'retrieval')) AS a, len(list_filter(t, lambda x: x = 'corpus')) AS b FROM kept),
@@ -292,4 +359,49 @@ ORACLE = {
         UNION ALL SELECT key, source_url, 'page', 2 FROM cur WHERE source_url IS NOT NULL),
       o AS (SELECT key, url, min(struct_pack(s := s, kind := kind)) AS f FROM c GROUP BY 1, 2)
       SELECT key, url, f.kind AS kind, row_number() OVER (PARTITION BY key ORDER BY f.s, url) - 1 AS priority FROM o""",
+    "fts_indexed": f"""
+      WITH {_TOKENS},
+      f AS (SELECT doc_id, len(t) AS d, len(list_filter(t, lambda x: x = 'retrieval')) AS a, len(list_filter(t, lambda x: x = 'corpus')) AS b FROM kept),
+      s AS (SELECT count(*) AS n, avg(d) AS m, sum((a > 0)::INT) AS na, sum((b > 0)::INT) AS nb FROM f),
+      w AS (SELECT m, CASE WHEN ln((n - na + 0.5) / (na + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - na + 0.5) / (na + 0.5)) END AS ia,
+                   CASE WHEN ln((n - nb + 0.5) / (nb + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - nb + 0.5) / (nb + 0.5)) END AS ib FROM s)
+      SELECT 'terms' AS asked, doc_id, round(-(ia * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * d / m)) + ib * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * d / m))), 6) AS score
+      FROM f, w WHERE a > 0 AND b > 0
+      UNION ALL SELECT 'phrase', doc_id, 0.0 FROM kept WHERE (' ' || array_to_string(t, ' ') || ' ') LIKE '% zero shot %'""",
+    "find_papers": f"""
+      WITH {_CURRENT}, a AS (SELECT paper_key, string_agg(name, ', ' ORDER BY position, name) AS line FROM (SELECT DISTINCT paper_key, position, name FROM authors) GROUP BY 1)
+      SELECT key FROM cur LEFT JOIN a ON key = paper_key WHERE contains(lower(title), 'an') OR contains(lower(abstract), 'an') OR contains(lower(coalesce(line, '')), 'an')""",
+    "neighbour_ranked": f"""
+      WITH r AS (SELECT DISTINCT src_key, bibkey, arxiv_id, doi, nullif({_DOI}, '') AS cited FROM refs), c AS (SELECT cited, count(*) AS n FROM r GROUP BY 1)
+      SELECT r.cited, count(DISTINCT src_key) AS n_seeds, max(c.n) AS citation_count, true AS resolvable FROM r JOIN c ON r.cited = c.cited GROUP BY 1 HAVING count(DISTINCT src_key) >= 2""",
+    "arxiv_sources": f"""WITH {_CURRENT} SELECT key, 'arxiv_html' AS kind, 'https://arxiv.org/html/' || arxiv_id AS url, 0 AS priority FROM cur WHERE arxiv_id IS NOT NULL
+      UNION ALL SELECT key, 'pdf', 'https://arxiv.org/pdf/' || arxiv_id || '.pdf', 10 FROM cur WHERE arxiv_id IS NOT NULL""",
+    "outline_ranges": """
+      WITH b AS (SELECT paper_key, ordinal, max(struct_pack(id := id, kind := coalesce(kind, ''))) AS x FROM blocks WHERE ordinal IS NOT NULL GROUP BY 1, 2),
+      n AS (SELECT paper_key, max(ordinal) + 1 AS n FROM b GROUP BY 1)
+      SELECT b.paper_key, x.id AS block_id, ordinal AS start, coalesce(lead(ordinal) OVER (PARTITION BY b.paper_key ORDER BY ordinal), n) AS "end"
+      FROM b JOIN n ON b.paper_key = n.paper_key WHERE x.kind = 'heading'""",
+    "ir_coverage": """
+      WITH d AS (SELECT DISTINCT record_id, doc_json FROM ir_documents WHERE json_valid(doc_json)),
+      k AS (SELECT unnest(['math', 'figures', 'tables', 'bibitems', 'notes']) AS k),
+      c AS (SELECT record_id, doc_json, coalesce(try_cast(json_extract_string(doc_json, '$.coverage.source_counts.' || k) AS INT), 0) AS s,
+        coalesce(try_cast(json_extract_string(doc_json, '$.coverage.mapped_counts.' || k) AS INT), 0) AS m FROM d, k),
+      t AS (SELECT record_id, doc_json, sum(s) AS s, sum(least(s, m)) AS m FROM c GROUP BY 1, 2)
+      SELECT DISTINCT record_id, round(CASE WHEN s = 0 THEN 1.0 ELSE m / s END, 4) AS ratio, (CASE WHEN s = 0 THEN 1.0 ELSE m / s END) >= 0.95 AS ok FROM t""",
+    "events_sliding": """
+      SELECT w AS start, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY 1""",
+    "metadata_merge": f"""
+      WITH {_CURRENT}, f AS (SELECT key, max(title) AS title, max(venue) AS venue, max(year) AS year, max(license) AS license FROM papers WHERE key IS NOT NULL GROUP BY 1)
+      SELECT f.key, coalesce(nullif(cur.title, ''), nullif(f.title, '')) AS title, coalesce(nullif(cur.venue, ''), nullif(f.venue, '')) AS venue,
+        coalesce(cur.year, f.year) AS year, coalesce(nullif(cur.license, ''), nullif(f.license, '')) AS license FROM f JOIN cur ON f.key = cur.key""",
+    "markdown_text": r"""
+      SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```[^\n]*\n?(.*?)```', '\1', 'g'),
+        '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '(?m)^#{1,6}\s*', '', 'g'), '[*_`>]', '', 'g'), '^\s+|\s+$', '', 'g') || chr(10)) AS plain_md5 FROM documents""",
+    "source_identity": r"""
+      WITH u AS (SELECT DISTINCT source_url, trim(source_url) AS u FROM papers WHERE source_url IS NOT NULL),
+      p AS (SELECT source_url, u, lower(regexp_extract(u, '^[a-zA-Z]+://([^/?#:]*)', 1)) AS host, regexp_extract(u, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path FROM u),
+      k AS (SELECT source_url, host, path, regexp_extract(path, '^/(?:abs|pdf|html)/(\d{4}\.\d{4,5})(?:v\d+)?(?:\.pdf)?$', 1) AS arxiv FROM p)
+      SELECT source_url, CASE WHEN arxiv <> '' AND host LIKE '%arxiv.org' THEN 'arxiv' WHEN host LIKE '%doi.org' THEN 'doi' ELSE 'url' END AS kind,
+        sha256(CASE WHEN arxiv <> '' AND host LIKE '%arxiv.org' THEN 'arxiv:' || arxiv WHEN host LIKE '%doi.org' THEN 'doi:' || lower(trim(path, '/'))
+          ELSE 'url:' || lower('https://' || host || path) END) AS key FROM k""",
 }
