@@ -390,6 +390,10 @@ ORACLE = {
       SELECT DISTINCT record_id, round(CASE WHEN s = 0 THEN 1.0 ELSE m / s END, 4) AS ratio, (CASE WHEN s = 0 THEN 1.0 ELSE m / s END) >= 0.95 AS ok FROM t""",
     "events_sliding": """
       SELECT w AS start, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY 1""",
+    "upsert_papers": """
+      WITH o AS (SELECT key, arg_min(struct_pack(c := created_at, u := updated_at, s := status), (updated_at, status)) AS x FROM papers WHERE created_at = updated_at AND key IS NOT NULL GROUP BY 1),
+      n AS (SELECT key, arg_max(struct_pack(u := updated_at, s := status), updated_at) AS l, arg_min(created_at, updated_at) AS c FROM papers WHERE created_at <> updated_at AND key IS NOT NULL GROUP BY 1)
+      SELECT coalesce(o.key, n.key) AS key, coalesce(n.l.s, o.x.s) AS status, coalesce(o.x.c, n.c) AS created_at, coalesce(n.l.u, o.x.u) AS updated_at FROM o FULL JOIN n ON o.key = n.key""",
     "metadata_merge": f"""
       WITH {_CURRENT}, f AS (SELECT key, max(title) AS title, max(venue) AS venue, max(year) AS year, max(license) AS license FROM papers WHERE key IS NOT NULL GROUP BY 1)
       SELECT f.key, coalesce(nullif(cur.title, ''), nullif(f.title, '')) AS title, coalesce(nullif(cur.venue, ''), nullif(f.venue, '')) AS venue,
