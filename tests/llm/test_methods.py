@@ -151,3 +151,22 @@ def test_spam_groups_and_learned_words(spark):
     learned = spam.learned_function_words(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert {"jest", "i", "w", "na"} <= learned and "cheap" not in learned
     assert spam.learned_function_words(spark.createDataFrame([(1, "a")], "doc_id long, text string")) == frozenset()
+
+
+def test_no_table_is_broadcast(spark, monkeypatch):
+    """Sides of joins grow with the library, so none may be gathered in the driver, small as they are here."""
+    papers = spark.createDataFrame([(f"k{i}", f"Notes on the {i} gardens of a town", f"10.1234/{i}", None) for i in range(30)], "key string, title string, doi string, arxiv_id string")
+    papers = papers.withColumns({"status": F.lit("indexed"), "updated_at": F.current_timestamp(), "created_at": F.current_timestamp()})
+    refs = papers.select(F.lit("s").alias("src_key"), F.col("key").alias("bibkey"), F.lit(None).cast("string").alias("raw"), "title", "doi", "arxiv_id")
+    plans, kept = [], matching.cut_lineage
+
+    def noted(df):
+        out = kept(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())  # as it ran
+        return out
+
+    monkeypatch.setattr(matching, "cut_lineage", noted)
+    got = matching.match_references(refs, papers, matching.Parameters(sample=50))
+    assert {(r.bibkey, r.paper_key) for r in got.collect()} >= {(f"k{i}", f"k{i}") for i in range(30)}
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and any("SortMergeJoin" in x for x in plans) and not any("Broadcast" in x for x in plans)
