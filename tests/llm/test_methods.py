@@ -3,6 +3,7 @@ import string
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillgrid.llm import leakage, markup, matching, names, packing, spam
@@ -170,3 +171,33 @@ def test_no_table_is_broadcast(spark, monkeypatch):
     assert {(r.bibkey, r.paper_key) for r in got.collect()} >= {(f"k{i}", f"k{i}") for i in range(30)}
     plans.append(got._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 5 and any("SortMergeJoin" in x for x in plans) and not any("Broadcast" in x for x in plans)
+
+
+def test_walks_vectors_and_calibration_take_all_records(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(7))
+    common = [word() for _ in range(40)]
+    rows = [(f"k{i}", " ".join([word(), *rng.sample(common, 5), word()]), f"10.1234/{i}", None) for i in range(60)]
+    papers = spark.createDataFrame(rows, "key string, title string, doi string, arxiv_id string")
+    papers = papers.withColumns({"status": F.lit("indexed"), "updated_at": F.current_timestamp(), "created_at": F.current_timestamp()})
+    refs = papers.select(F.lit("s").alias("src_key"), F.col("key").alias("bibkey"), F.lit(None).cast("string").alias("raw"), "title", "doi", "arxiv_id")
+    p = matching.Parameters(sample=3)  # far fewer than the records, and than the pairs that a calibration needs
+    got = matching.match_references(refs, papers, p).collect()
+    assert {(r.bibkey, r.paper_key) for r in got} == {(k, k) for k, *_ in rows} and all(r.confidence > 0.5 for r in got)
+
+    records = matching.graph_records(papers.withColumn("uid", F.xxhash64("key")), refs.withColumn("uid", F.xxhash64("bibkey")))
+    walked = sorted(tuple(r) for r in matching.walks(records, p).collect())
+    assert walked == sorted(tuple(r) for r in matching.walks(records.repartition(7), p).collect())
+    held = {r.uid: [set(a.tokens) for a in r.attributes] for r in records.collect()}
+    assert len(held) == 120 and sorted((u, w) for u, w, _ in walked) == sorted((u, w) for u in held for w in (1, 2))
+    steps = [(u, s[i : i + 2], i) for u, _, s in walked for i in range(0, p.walk_length, 2)]
+    assert all(any(set(two) <= a for u in ([start] if i == 0 else held) for a in held[u]) for start, two, i in steps)
+    assert len({u for u, two, i in steps if i and not any(set(two) <= a for a in held[u])}) > 60  # walks leave their record
+
+    monkeypatch.setattr(matching, "spread", lambda inner, n, *_: (inner, n))
+    q = matching.Parameters(sample=20, walks=10)  # three shares; a word learns once its neighbours have learnt
+    inner, words = matching.vectors_of(records, q)
+    assert words == len({t for attributes in held.values() for a in attributes for t in a})
+    moved = (inner != matching.seeded(q)[1]).any(axis=1)
+    own = lambda title: [moved[xxhash.xxh32_intdigest(f"<{w}>") % q.buckets] for w in (title.split()[0], title.split()[-1])]
+    assert np.mean([any(own(title)) for _, title, *_ in rows]) > 0.9
