@@ -1,10 +1,11 @@
 """Markup residue in text: found, described by wrappers, and converted to clean text.
 
 Method: union-free regular-expression inference. A lexer turns each text into a stream of markup tokens and
-text slots, in which repeats are folded. The distinct streams of one host (a paper, a record) that use the same marks are
+text slots, in which repeats are folded. The distinct streams of one host (a paper, a record), whatever marks they use, are
 aligned one after the other, in the order of their signs, with the host's wrappers: slots match any text, a token that only one
 side has becomes an optional group, a group that one side repeats becomes a repeated group. A stream that can't be aligned
-without a union starts a wrapper of its own, and a wrapper only grows if it still matches all streams that made it.
+without a union starts a wrapper of its own. What an alignment makes covers both sides group by group, so a wrapper matches all
+streams that made it. A host of very many streams is aligned in chunks, whose wrappers are aligned with each other in turn.
 The wrappers are then joined back to the texts: texts whose wrapper holds markup are cases, and what the wrapper's
 slots match in them is their content. Wrappers depend on the streams alone, not on partitions or batches.
 """
@@ -242,11 +243,12 @@ def fold_repeats(labels: tuple[str, ...], longest: int = 6) -> Wrapper:
 
 
 def align(wrapper: Wrapper, labels: Wrapper, most_gaps: int = 3) -> Wrapper | None:
-    """The wrapper that also covers ``labels``; None if that would need a union.
+    """The wrapper that also covers ``labels``, a stream or another wrapper; None if that would need a union.
 
     Both are walked together. Equal groups stay; groups that differ in repetition only become repeated; a
     group that the other side lacks becomes optional, which is sought for on both sides; two different
-    tokens at the same place, with neither found further on, need a union.
+    tokens at the same place, with neither found further on, need a union. So the groups of either side stand in the result in
+    their order, no less optional or repeated, and all others are optional: it matches whatever either side matches.
     """
     out: list[Group] = []
     i = j = gaps = 0
@@ -261,6 +263,10 @@ def align(wrapper: Wrapper, labels: Wrapper, most_gaps: int = 3) -> Wrapper | No
             out.append(a)
             i += 1
             continue
+        if b and b.optional and not (a and any(g.labels == a.labels for g in labels[j:])):
+            out.append(b)
+            j += 1
+            continue
         skip_a = next((k for k in range(i, len(wrapper)) if b and wrapper[k].labels == b.labels), None)
         skip_b = next((k for k in range(j, len(labels)) if a and labels[k].labels == a.labels), None)
         if skip_a is not None and (skip_b is None or skip_a - i <= skip_b - j):
@@ -323,32 +329,29 @@ def read_wrapper(line: str) -> Wrapper:
 
 @dataclass
 class Wrappers:
-    """The wrappers of one host, grown stream by stream."""
+    """The wrappers of one host, grown stream by stream, or from other wrappers of the host."""
 
     found: list[Wrapper] = field(default_factory=list)
-    place: dict[tuple[str, ...], int] = field(default_factory=dict)
-    members: list[list[tuple[str, ...]]] = field(default_factory=list)
+    place: dict[Wrapper, int] = field(default_factory=dict)
+    marks: list[set[str]] = field(default_factory=list)
 
     def add_folded(self, folded: Wrapper) -> int:
-        """Place a folded stream; a wrapper takes it only if what it then is matches everything placed in it."""
-        labels = unfolded(folded)
-        if labels not in self.place:
-            marks = {x for x in labels if x != TEXT}
+        """Place a folded stream or a wrapper; a wrapper takes it only if what it then is matches it."""
+        if folded not in self.place:
+            marks = {x for g in folded for x in g.labels if x != TEXT}
             for k, wrapper in enumerate(self.found):
-                if marks & {x for g in wrapper for x in g.labels}:
+                if marks & self.marks[k]:
                     grown = align(wrapper, folded)
-                    if grown is not None:
-                        matcher = Matcher(grown)
-                        if all(matcher.slots(m) is not None for m in (labels, *self.members[k])):
-                            self.found[k] = grown
-                            self.place[labels] = k
-                            self.members[k].append(labels)
-                            break
+                    if grown is not None and Matcher(grown).slots(unfolded(folded)) is not None:
+                        self.found[k] = grown
+                        self.marks[k] |= marks
+                        self.place[folded] = k
+                        break
             else:
                 self.found.append(folded)
-                self.members.append([labels])
-                self.place[labels] = len(self.found) - 1
-        return self.place[labels]
+                self.marks.append(marks)
+                self.place[folded] = len(self.found) - 1
+        return self.place[folded]
 
     def add(self, labels: tuple[str, ...]) -> int:
         return self.add_folded(fold_repeats(labels))
@@ -459,7 +462,7 @@ def clean_tex(tex: str, tokens: list[Token]) -> str:
 NAMES = ("source_table", "owner_key", "item_id")
 STREAMED = T.StructType(
     [T.StructField(n, T.StringType()) for n in NAMES]
-    + [T.StructField("is_tex", T.BooleanType()), T.StructField("text", T.StringType()), T.StructField("folded", T.StringType()), T.StructField("marks", T.StringType())]
+    + [T.StructField("is_tex", T.BooleanType()), T.StructField("text", T.StringType()), T.StructField("folded", T.StringType())]
 )
 WRAPPED = T.StructType([T.StructField(n, T.StringType()) for n in ("source_table", "owner_key", "folded", "wrapper")])
 CLEANED = T.StructType([T.StructField(n, T.StringType()) for n in (*NAMES, "wrapper", "clean_text")] + [T.StructField("n_markup", T.IntegerType())])
@@ -470,40 +473,43 @@ def _lex(tex: bool, text: str) -> list[Token]:
 
 
 def _streams(keep_text: bool):
-    """The folded stream of each text, and the marks in it; both null for a text without markup."""
+    """The folded stream of each text; null for a text without markup."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            folded, marks = [], []
+            folded = []
             for tex, text in zip(batch["is_tex"], batch["text"]):
                 tokens = _lex(tex, text)
                 folded.append(written(fold_repeats(stream(text, tokens))) if tokens else None)
-                marks.append("\x1f".join(sorted({t.label for t in tokens})) if tokens else None)
-            yield batch.assign(text=batch["text"] if keep_text else None, folded=folded, marks=marks)
+            yield batch.assign(text=batch["text"] if keep_text else None, folded=folded)
 
     return run
 
 
-#: Distinct streams of one host with the same marks from which wrappers are made at once; more are dealt out by hash.
+#: Distinct streams, or wrappers, of one host that are aligned at once; more are dealt out by hash.
 CHUNK = 2_000
+#: Part of a host's wrappers that may be left after a round; if more are left, the next round takes the host's wrappers as they come, at once.
+LEFT = 0.9
+HOST = ["source_table", "owner_key"]
 
 
 def _infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Wrappers of the groups (host, marks, chunk), whose streams come sorted, one group after the other."""
+    """Wrappers of the groups (host, chunk), whose streams come sorted, one group after the other."""
     group, lines = None, []
 
     def grown() -> pd.DataFrame:
         wrappers = Wrappers()
         placed = [wrappers.add_folded(read_wrapper(x)) for x in lines]
-        return pd.DataFrame([(group[0], group[1], x, written(wrappers.found[k])) for x, k in zip(lines, placed)], columns=WRAPPED.names)
+        shown = [written(x) for x in wrappers.found]
+        return pd.DataFrame([(group[0], group[1], x, shown[k]) for x, k in zip(lines, placed)], columns=WRAPPED.names)
 
     for batch in batches:
         made = []
-        for table, owner, marks, chunk, line in zip(*(batch[c] for c in ("source_table", "owner_key", "marks", "chunk", "folded"))):
-            if (table, owner, marks, chunk) != group:
+        for table, owner, chunk, line in zip(*(batch[c] for c in (*HOST, "chunk", "folded"))):
+            if (table, owner, chunk) != group:
                 if lines:
                     made.append(grown())
-                group, lines = (table, owner, marks, chunk), []
+                group, lines = (table, owner, chunk), []
             lines.append(line)
         if made:
             yield pd.concat(made)
@@ -511,20 +517,39 @@ def _infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield grown()
 
 
+def _aligned(lines: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(source_table, owner_key, folded, wrapper) of ``lines``, aligned within as many chunks as ``hosts`` names for their host; 1 if none."""
+    chunk = F.pmod(F.xxhash64("folded"), F.coalesce("chunks", F.lit(1)).cast("long"))
+    dealt = lines.join(hosts.select(*HOST, "chunks"), HOST, "left").withColumn("chunk", chunk)
+    keys = [*HOST, "chunk"]
+    return dealt.select(*keys, "folded").repartition(*keys).sortWithinPartitions(*keys, "folded").mapInPandas(_infer, WRAPPED)
+
+
 def infer_wrappers(streamed: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(source_table, owner_key, folded, wrapper) of every distinct stream with markup.
 
-    Only distinct streams are shuffled. A host with very many of them is dealt out by marks and, beyond ``chunk``
-    streams of the same marks, by the stream's hash, so no task gathers a host; all of it follows from the streams.
+    Only distinct streams are shuffled. All streams of a host are aligned with each other: those of a host with more than ``chunk`` are
+    dealt out by hash, and then the wrappers of its chunks in their turn, round by round, until one chunk holds them all. So no task
+    gathers a large host's streams; all of it follows from the streams.
     """
-    host = ["source_table", "owner_key", "marks"]
-    distinct = streamed.where(F.col("folded").isNotNull()).select("source_table", F.coalesce("owner_key", F.lit("\x00")).alias("owner_key"), "marks", "folded").distinct()
-    large = distinct.groupBy(*host).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
-    dealt = distinct.join(large, host, "left").withColumn(
-        "chunk", F.pmod(F.xxhash64("folded"), F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("long"))
+    lines = cut_lineage(
+        streamed.where(F.col("folded").isNotNull()).select("source_table", F.coalesce("owner_key", F.lit("\x00")).alias("owner_key"), "folded").distinct()
     )
-    keys = [*host, "chunk"]
-    return dealt.select(*keys, "folded").repartition(*keys).sortWithinPartitions(*keys, "folded").mapInPandas(_infer, WRAPPED)
+    number = F.count(F.lit(1)).alias("n")
+    large = cut_lineage(lines.groupBy(*HOST).agg(number).where(F.col("n") > chunk).withColumn("chunks", F.ceil(F.col("n") / chunk)))
+    done = _aligned(lines, large)
+    if large.isEmpty():
+        return done
+    done = cut_lineage(done)
+    while not large.isEmpty():
+        parts = cut_lineage(done.join(large.select(*HOST), HOST, "left_semi").select(*HOST, F.col("wrapper").alias("folded")).distinct())
+        left = parts.groupBy(*HOST).agg(number).join(large.select(*HOST, F.col("n").alias("before")), HOST)
+        chunks = F.when(F.col("n") > LEFT * F.col("before"), 1).otherwise(F.ceil(F.col("n") / chunk)).alias("chunks")
+        dealt = cut_lineage(left.select(*HOST, "n", chunks))
+        merged = _aligned(parts, dealt).select(*HOST, F.col("folded").alias("wrapper"), F.col("wrapper").alias("merged"))
+        done = cut_lineage(done.join(merged, [*HOST, "wrapper"], "left").select(*HOST, "folded", F.coalesce("merged", "wrapper").alias("wrapper")))
+        large = dealt.where("chunks > 1")
+    return done
 
 
 def _clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -610,4 +635,5 @@ def found(blocks: DataFrame, equations: DataFrame, ir_documents: DataFrame) -> D
     texts = texts_of_library(blocks, equations, ir_documents)
     streamed = cut_lineage(texts.mapInPandas(_streams(False), STREAMED).drop("text").where(F.col("folded").isNotNull()).distinct())
     marked = F.exists(F.split("wrapper", "[\t\x1f]"), lambda x: F.regexp_replace(x, "^[ ?+*]", "") != TEXT)
-    return _with_wrappers(streamed, infer_wrappers(streamed)).where(marked).select(*NAMES).distinct()
+    wrappers = infer_wrappers(streamed).select(*HOST, "folded", marked.alias("wrapper"))
+    return _with_wrappers(streamed, wrappers).where("wrapper").select(*NAMES).distinct()

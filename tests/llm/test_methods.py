@@ -201,3 +201,23 @@ def test_walks_vectors_and_calibration_take_all_records(spark, monkeypatch):
     moved = (inner != matching.seeded(q)[1]).any(axis=1)
     own = lambda title: [moved[xxhash.xxh32_intdigest(f"<{w}>") % q.buckets] for w in (title.split()[0], title.split()[-1])]
     assert np.mean([any(own(title)) for _, title, *_ in rows]) > 0.9
+
+
+def test_streams_of_a_host_are_aligned_whatever_their_marks(spark):
+    pair = ["<p>a</p>", "<p>a <b>b</b> c</p>"]
+    rng = random.Random(8)
+    bits = ["<i>x</i>", "<b>y</b>", "&amp;", "**z**", "[l](u)", "plain", "<li>a</li><li>b</li>"]
+    many = [" ".join(rng.choice(bits) for _ in range(rng.randint(1, 6))) for _ in range(120)]
+    rows = [("blocks", o, f"{o}{i}", False, t) for o, texts in (("p", pair), ("q", pair[:1]), ("r", many)) for i, t in enumerate(texts)]
+    texts = spark.createDataFrame(rows, "source_table string, owner_key string, item_id string, is_tex boolean, text string")
+    cleaned = {r.item_id: r for r in markup.clean_library(texts).collect()}
+    assert cleaned["p0"].wrapper == cleaned["p1"].wrapper == "<p> · (<b>)? (·)? (</b>)? (·)? </p>"
+    assert cleaned["q0"].wrapper == "<p> · </p>"
+    streamed = texts.mapInPandas(markup._streams(True), markup.STREAMED)
+    for chunk in (2, 7, markup.CHUNK):
+        got = markup.infer_wrappers(streamed, chunk=chunk).where("owner_key = 'r'").collect()
+        assert len(got) == len({r.folded for r in got})
+        marks = lambda w: {x for g in w for x in g.labels} - {markup.TEXT}
+        assert all(markup.Matcher(markup.read_wrapper(r.wrapper)).slots(markup.unfolded(markup.read_wrapper(r.folded))) is not None for r in got)
+        ends = [markup.read_wrapper(x) for x in sorted({r.wrapper for r in got})]
+        assert len(ends) < len({frozenset(marks(markup.read_wrapper(r.folded))) for r in got})
